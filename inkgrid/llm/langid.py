@@ -378,6 +378,13 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     whole = np.where(single & (whole >= 0), hi, whole)
     # a text without a sentence of its own (a cry, a name) is sure only by a wide lead over enough letters
     whole_sure = (hi >= 0) | ((two[:, -1] - two[:, -2] >= 2 * bank.margin) & (n_letters >= 10))
+    # a script that only one language writes makes any text sure that has no letter of another script
+    kana = (folded >= 0x3041) & (folded < 0x30FB) & le
+    alone = np.minimum.reduceat(np.where(kind > 0, kind, 9), edge) == np.maximum.reduceat(kind, edge)
+    with_kana = np.add.reduceat(np.add.reduceat(kana.astype(np.int32), b), edge) > 0
+    own_script = alone & (np.isin(np.maximum.reduceat(kind, edge), [2, 3, 5]) | with_kana)
+    whole = np.where(own_script & with_kana & (hi < 0), LANGS.index("ja"), whole)
+    whole_sure |= own_script
     base = starts[text_of]
     lens = np.fromiter((len(t) for t in texts), np.int64, n)
     return Decided(text_of, b - base, np.minimum(stop - base, lens[text_of]), lang, lead, sure, whole, whole_sure, single | (hi < 0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.llm import langid, lookalike
+from inkgrid.llm import langid, lookalike, pairs, repetition, truncation
 from inkgrid.session import table
 
 
@@ -30,5 +30,25 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_forms(table(spark, d, "regions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_regions(table(spark, d, "regions"))
+
+
+def p3_feed_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.feed_shares(table(spark, d, "regions"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive(table(spark, d, "regions"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.shares(table(spark, d, "regions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "regions"), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
