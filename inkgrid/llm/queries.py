@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.llm import langid, lookalike, pairs, repetition, truncation
+from inkgrid.llm import bpe, langid, lookalike, mixing, pairs, repetition, sentences, truncation
 from inkgrid.session import table
 
 
@@ -50,5 +50,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "regions"), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).select("doc_id", "source", "uses")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.actual_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_table(table(spark, d, "documents"))
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
