@@ -98,7 +98,8 @@ def run(pages: DataFrame, regions: DataFrame, translator: Callable[[DataFrame],
     kept, skipped = candidates(r, least)
     done = translator(kept)
     erased = inpainter(kept).groupBy("page_id").agg(F.count("*").alias("regions"))
-    said = done.groupBy("page_id").agg(F.sum(F.col("translated_text").isNotNull().cast("long")).alias("translated"))
+    said = kept.select("page_id", "region_seq").join(done.select("page_id", "region_seq", "translated_text"), ["page_id", "region_seq"], "left")
+    said = said.groupBy("page_id").agg(F.sum(F.col("translated_text").isNotNull().cast("long")).alias("translated"))
     left = skipped.groupBy("page_id").agg(F.count("*").alias("skipped"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = pages.select("page_id", "page_seq", "error").join(join_branches(said, erased), "page_id", "left").join(left, "page_id", "left")
