@@ -122,9 +122,10 @@ def _tandem_words(words: list[str], covered: bytearray) -> None:
     for w in words:
         at.append(at[-1] + len(w))
     where: dict[str, int] = {}
+    run_end = 0
     for i, w in enumerate(words):
         j = where.get(w)
-        if j is not None:
+        if j is not None and i >= run_end:
             p = i - j
             k = i
             while k < n and words[k] == words[k - p]:
@@ -133,6 +134,7 @@ def _tandem_words(words: list[str], covered: bytearray) -> None:
                 if k < n and words[k - p].startswith(words[k]):
                     k += 1
                 covered[at[i] : at[k]] = b"\x01" * (at[k] - at[i])
+                run_end = k
         where[w] = i
 
 
