@@ -175,12 +175,10 @@ def s3(s, d):
 
 @query("S2_zip_members", "select page_id, member, row_number() over (partition by sub_dir order by lower(member), page_seq) as n from pages where member is not null and not ends_with(member,'/') and not starts_with(regexp_extract(member,'([^/]*)$',1),'.') and not starts_with(member,'__MACOSX') and lower(regexp_extract(member,'[^/]+(\\.[^./]+)$',1)) in ('.png','.jpg','.jpeg','.webp')")
 def s2(s, d):
-    from pyspark.sql import Window
-
-    from inkgrid.sources.files import is_member
+    from inkgrid.sources.files import is_member, number_members
 
     x = table(s, d, "pages").where(F.col("member").isNotNull() & is_member(F.col("member")))
-    return x.select("page_id", "member", F.row_number().over(Window.partitionBy("sub_dir").orderBy(F.lower("member"), "page_seq")).alias("n"))
+    return number_members(x.select("page_id", "sub_dir", "member", F.col("page_seq").alias("seq"))).select("page_id", "member", "n")
 
 
 @query("J5_join_branches", with_regions("select a.page_id, a.n as translated, b.n as inpainted from (select page_id, count(*) as n from R where translated_text is not null group by 1) a join (select page_id, count(*) as n from R where inpaint_bbox is not null group by 1) b using (page_id)"))
@@ -200,3 +198,12 @@ def j8(s, d):
     x = regions(s, d, "source_text", "character_confidences").where("character_confidences is not null and source_text <> '' and size(character_confidences) = length(source_text)")
     z = zip_strict(x, F.split("source_text", ""), F.col("character_confidences"))
     return z.select("page_id", "region_seq", (F.col("i") + 1).alias("i"), F.col("a").alias("ch"), F.round("b", 6).alias("conf"))
+
+
+@query("G17_axis_islands", with_regions("select page_id, region_seq, (mb+nt)//2 as point from (select page_id, region_seq, max(y+1) over (partition by page_id, region_seq order by y, x0 rows unbounded preceding) as mb, lead(y) over (partition by page_id, region_seq order by y, x0) as nt from M) where nt-mb>=4", _r("layout", "M")))
+def g17(s, d):
+    """Where each mask may be split from top to bottom: between scan lines that lie apart."""
+    from inkgrid.operators.spatial import axis_splits
+
+    m = M.joined(runs(s, d, "layout")).withColumn("y1", F.col("y") + 1).withColumn("n", F.lit(2**30))
+    return axis_splits(m, ["page_id", "region_seq"], "y", "y1", "n", 4, 0)

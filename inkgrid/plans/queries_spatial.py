@@ -362,15 +362,6 @@ def g10n(s, d):
     return S.overlap_pairs(S.resolve_overlaps(regions(s, d), 0.35)).agg(F.count("*").alias("overlapping"))
 
 
-_SPLIT = "Z as (select page_id, l, r, t, b, max(b) over (partition by page_id order by t, b, region_seq rows unbounded preceding) as mb, lead(t) over (partition by page_id order by t, b, region_seq) as nt from R)"
-
-
-@query("G17_axis_islands", with_regions("select page_id, (mb+nt)//2 as point from Z where nt-mb>=20", _SPLIT))
-def g17(s, d):
-    x = regions(s, d).withColumn("n", F.lit(2**30))
-    return S.axis_splits(x, ["page_id"], "t", "b", "n", 20, 0).distinct()
-
-
 @query("G15_median_size", with_regions("select page_id, coalesce(quantile_cont(r-l,0.5) filter (where r-l>=6 and b-t>=6),30.0) as w, coalesce(quantile_cont(b-t,0.5) filter (where r-l>=6 and b-t>=6),30.0) as h from R group by 1"))
 def g15(s, d):
     x = regions(s, d)

@@ -41,3 +41,11 @@ def number_by_name(files: DataFrame, out: str = "page_seq") -> DataFrame:
     sizes = parts.groupBy("_p").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
     return parts.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_k", "_p", "_i", "_b")
+
+
+def number_members(members: DataFrame, archive: str = "sub_dir", out: str = "n") -> DataFrame:
+    """Number the members of each archive by lower-cased path, ties by ``seq``: the place among all members less that of the archive's first."""
+    x = members.withColumn("name", F.concat_ws("\x01", F.col(archive), "member"))
+    x = number_by_name(x, "_n")
+    first = x.groupBy(archive).agg(F.min("_n").alias("_first"))
+    return x.join(first, archive).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first", "name")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.operators.context import running_sum
+
 
 def output_path(root: str, sub_dir: Column, member: Column, stem: Column, fmt: str) -> Column:
     """Path of a page's output. Equal stems of one folder can't collide: an archive member's path is part of the name."""
@@ -18,8 +20,8 @@ def viewer_offsets(pages: DataFrame, viewport_width: int, gap: int = 10) -> Data
     """Pages of each volume with scaled height ``h`` and running offset ``y``; pages without a size are left out."""
     x = pages.where("width is not null and height is not null")
     h = F.greatest(F.lit(1), F.bround(F.col("height") * F.least(F.lit(1.0), F.lit(float(viewport_width)) / F.col("width")), 0).cast("int"))
-    w = Window.partitionBy("sub_dir").orderBy("page_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("h", h).withColumn("y", F.coalesce(F.sum(F.col("h") + gap).over(w), F.lit(0)).cast("long"))
+    x = running_sum(x.withColumn("h", h), F.col("h") + gap, "sub_dir", "page_seq", "y")
+    return x.withColumn("y", F.col("y").cast("long"))
 
 
 def visible(offsets: DataFrame, scroll_y: int, viewport_height: int) -> DataFrame:
