@@ -81,13 +81,13 @@ def mapping() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def mapped(text: Column) -> Column:
-    """Text with look-alikes mapped, blanks made plain and outer blanks dropped; runs in the JVM."""
+    """Text with look-alikes mapped, blanks made plain and outer blanks dropped (line breaks stay: they show); runs in the JVM."""
     src, dst, many = mapping()
     # translate() drops the characters of its second argument that have no partner in the third
     odd = F.translate(text, src + INVISIBLE, dst)
     for sign, letters in many:
         odd = F.replace(odd, F.lit(sign), F.lit(letters))
-    return F.regexp_replace(F.when(text.rlike(r"[^\x0a\x20-\x7e]"), odd).otherwise(text), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(F.when(text.rlike(r"[^\x0a\x20-\x7e]"), odd).otherwise(text), r"^ +| +$", "")
 
 
 def texts_of(regions: DataFrame) -> DataFrame:

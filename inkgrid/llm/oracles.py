@@ -14,7 +14,7 @@ def _mapped(col: str) -> str:
     x = f"translate({col}, {_lit(src + lookalike.INVISIBLE)}, {_lit(dst)})"
     for sign, letters in many:
         x = f"replace({x}, {_lit(sign)}, {_lit(letters)})"
-    return f"nfc_normalize(regexp_replace({x}, '^[ \\n]+|[ \\n]+$', '', 'g'))"
+    return f"nfc_normalize(regexp_replace({x}, '^ +| +$', '', 'g'))"
 
 
 def _texts() -> str:
