@@ -85,14 +85,18 @@ def dictionary_ratio(prompt: bytes, reply: bytes) -> float:
 
 
 def is_copy(prompt: str, reply: str, fold: Folder) -> bool:
-    """The reply is the prompt. Copies compress to a match and a frame; the exact comparison follows."""
+    """The reply is the prompt, as far as the eye can tell.
+
+    Folded copies compress to little more than a frame beside their prompt;
+    replies that don't are none, whatever they share. An exact comparison
+    follows. Replies without a character of the prompt share nothing that
+    could be matched and aren't compressed.
+    """
     a, b = fold(prompt), fold(reply)
-    if not a or not b or a[0] != b[0] or len(a) != len(b):
-        return False  # copies keep their ends and length: nothing to compress
-    x, y = a.encode(), b.encode()
-    if len(y) >= 16 and dictionary_ratio(x, y) > 0.5 + 16 / len(y):
+    if not b or set(a).isdisjoint(b):
         return False
-    return a == b
+    y = b.encode()
+    return dictionary_ratio(a.encode(), y) <= 0.5 + 16 / len(y) and a == b
 
 
 # --- operator --------------------------------------------------------------------------------
