@@ -79,8 +79,8 @@ def repeated_share(text: str) -> float:
 
     Two kinds of content count. A tandem run: units that equal those one
     period before, for at least one whole period (words said over and over, a
-    drawn-out cry, a looping fragment). A recurring passage: at least four
-    words (or eight letters where words aren't spaced) that occurred before.
+    drawn-out cry, a looping fragment). A recurring passage: at least six
+    words (or twelve letters where words aren't spaced) that occurred before.
     Shorter recurrences (a name, 'in the') are ordinary language.
     """
     low = text.casefold()
@@ -93,10 +93,10 @@ def repeated_share(text: str) -> float:
     covered = bytearray(n)
     _tandem(letters, covered)
     if spaced and len(words) > 1:
-        _passages(words, 4, covered, [len(w) for w in words])
+        _passages(words, 6, covered, [len(w) for w in words])
         _tandem_words(words, covered)
     else:
-        _passages(letters, 8, covered, None)
+        _passages(letters, 12, covered, None)
     return sum(covered) / n
 
 

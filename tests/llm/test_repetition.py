@@ -32,8 +32,8 @@ def brute_share(text):
     n = sum(map(len, words))
     seen = covered = 0
     for k in range(len(words)):
-        if any(words[j : j + 4] == words[k : k + 4] and j + 4 <= k for j in range(k)) and k + 4 <= len(words):
-            seen = max(seen, k + 4)
+        if any(words[j : j + 6] == words[k : k + 6] and j + 6 <= k for j in range(k)) and k + 6 <= len(words):
+            seen = max(seen, k + 6)
         if k < seen:
             covered += len(words[k])
     return covered / n if n else 0.0
