@@ -43,3 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkgrid-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """On a single machine, rows over all cores before work in Python: a small file is one partition there.
+
+    Inputs of a cluster come in many splits; they are left as they are, without
+    a shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.master.startswith("local["):
+        return df
+    return df.repartition(sc.defaultParallelism)
