@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgrid.llm import bpe, langid, lookalike, mixing, pairs, repetition, sentences, truncation
-from inkgrid.session import table
+from inkgrid.session import spread, table
 
 
 def _models(spark: SparkSession, d: str):
@@ -15,11 +15,11 @@ def _models(spark: SparkSession, d: str):
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.wrong_labels(table(spark, d, "regions"), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
+    return langid.wrong_labels(spread(table(spark, d, "regions")), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    return langid.segment_languages(table(spark, d, "regions"), _models(spark, d))
+    return langid.segment_languages(spread(table(spark, d, "regions")), _models(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,47 +31,47 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_regions(table(spark, d, "regions"))
+    return truncation.cut_regions(spread(table(spark, d, "regions")))
 
 
 def p3_feed_shares(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.feed_shares(table(spark, d, "regions"))
+    return truncation.feed_shares(spread(table(spark, d, "regions")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetitive(table(spark, d, "regions"))
+    return repetition.repetitive(spread(table(spark, d, "regions")))
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.shares(table(spark, d, "regions"))
+    return repetition.shares(spread(table(spark, d, "regions")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(table(spark, d, "regions"), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
+    return pairs.defects(spread(table(spark, d, "regions")), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.token_ids(table(spark, d, "documents"))
+    return bpe.token_ids(spread(table(spark, d, "documents")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.unreachable(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).select("doc_id", "source", "uses")
+    return mixing.mixture(spread(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("doc_id", "source", "uses")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.actual_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.actual_shares(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_table(table(spark, d, "documents"))
+    return sentences.sentence_table(spread(table(spark, d, "documents")))
 
 
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents"))
+    return sentences.sentence_units(spread(table(spark, d, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
