@@ -207,3 +207,19 @@ def g17(s, d):
 
     m = M.joined(runs(s, d, "layout")).withColumn("y1", F.col("y") + 1).withColumn("n", F.lit(2**30))
     return axis_splits(m, ["page_id", "region_seq"], "y", "y1", "n", 4, 0)
+
+
+_BOXES = " union all ".join(f"select page_id, region_seq, '{k}' as kind, '{c}' as color, {b}.l as l, {b}.t as t, {b}.r as r, {b}.b as b from R0 where {b} is not null" for b, k, c in (("bbox", "text", "blue"), ("layout_bbox", "layout", "green"), ("inpaint_bbox", "inpaint", "red")))
+
+
+@query("K3_overlay_boxes", f"with R0 as (select distinct page_id, region_seq, bbox, layout_bbox, inpaint_bbox from regions) {_BOXES}")
+def k3(s, d):
+    from inkgrid.sources.sinks import overlay
+
+    return overlay(table(s, d, "regions").select("page_id", "region_seq", "bbox", "layout_bbox", "inpaint_bbox").dropDuplicates(["page_id", "region_seq"]))
+
+
+@query("S4_lazy_content", "select page_id, octet_length(content)::bigint as bytes from pages where content is not null")
+def s4(s, d):
+    """Only a plan that uses the content reads it; this one does."""
+    return table(s, d, "pages").where("content is not null").select("page_id", F.length("content").cast("long").alias("bytes"))
