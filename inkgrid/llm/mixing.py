@@ -44,7 +44,8 @@ def source_shares(counts: DataFrame, targets: DataFrame) -> DataFrame:
     target, and of the null source, count in the total only. Repeated target
     rows count once.
     """
-    per = counts.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    # a row a source, written once: it is used twice, and the texts shall be encoded once
+    per = cut_lineage(counts.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
     total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     t = targets.select(F.col("source").cast("string").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).where("source is not null").distinct()
     j = F.broadcast(t).join(per, "source", "left").crossJoin(F.broadcast(total))  # one row: the total
