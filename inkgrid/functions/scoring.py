@@ -22,6 +22,11 @@ def deviation(a: Column, m: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: a lambda's argument is bound, a repeated expression is evaluated anew."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def quality(confidence: Column, char_conf: Column, text: Column) -> Column:
     """Quality of a recognised text.
 
@@ -35,10 +40,10 @@ def quality(confidence: Column, char_conf: Column, text: Column) -> Column:
     chars = F.split(text, "")
     kept = F.filter(F.arrays_zip(char_conf.alias("c"), chars.alias("t")), lambda z: ~is_punctuation(z["t"]))
     used = F.when(text.isNotNull() & (n == F.size(char_conf)), F.transform(kept, lambda z: z["c"])).otherwise(char_conf)
-    m = mean(used)
-    low = F.size(F.filter(used, lambda x: x < 0.70)) / F.size(used)
-    score = 0.5 * confidence + 0.5 * m - 0.25 * low - 0.80 * deviation(used, m) * 0.1
-    return F.when(confidence.isNull(), None).when(char_conf.isNull() | (F.size(char_conf) == 0), confidence).when(F.size(used) == 0, confidence).otherwise(score)
+    low = lambda u: F.size(F.filter(u, lambda x: x < 0.70)) / F.size(u)
+    spread = lambda u: let(mean(u), lambda m: 0.5 * m - 0.80 * deviation(u, m) * 0.1)
+    score = let(used, lambda u: F.when(F.size(u) > 0, 0.5 * confidence + spread(u) - 0.25 * low(u)).otherwise(confidence))
+    return F.when(confidence.isNull(), None).when(char_conf.isNull() | (F.size(char_conf) == 0), confidence).otherwise(score)
 
 
 def passes(score: Column, least: float) -> Column:
