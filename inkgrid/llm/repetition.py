@@ -3,9 +3,10 @@
 Method: compression bands. The normalised text (case, punctuation, spacing and
 numbers removed) is compressed with zstandard as a whole and in fixed chunks;
 the ratio falls into the repetitive band, the ordinary band or the
-incompressible band by limits that depend on the length. Texts in the
-repetitive band go through an exact check that measures which share of the
-text repeats content that came earlier in it.
+incompressible band by limits that depend on the length. An exact measure
+tells which share of a text repeats content that came earlier in it: of every
+text where shares are asked for, of those in the repetitive band where only
+texts that repeat more than half are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ CHUNK = 2048  # bytes of a fixed chunk
 _NOISE = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"[a-zß-ɏЀ-ԯ가-힣]")
 _TOKEN = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile("[.!?…。！？．｡।\n]+|(?<=[฀-๿])\\s+(?=[฀-๿])")
 
 
 def normal(text: str) -> str:
@@ -77,14 +79,15 @@ class Bands:
 def repeated_share(text: str) -> float:
     """Share of the letters that repeat content that came earlier in the text.
 
-    Two kinds of content count. A tandem run: units that equal those one
+    Three kinds of content count. A tandem run: units that equal those one
     period before, for at least one whole period (words said over and over, a
     drawn-out cry, a looping fragment). A recurring passage: at least six
     words (or twelve letters where words aren't spaced) that occurred before.
-    Shorter recurrences (a name, 'in the') are ordinary language.
+    A whole sentence or line of at least two words (or four letters) that was
+    said before. Shorter recurrences (a name, 'in the') are ordinary language.
     """
-    low = text.casefold()
-    words = _TOKEN.findall(low)
+    sents = [_TOKEN.findall(x) for x in _SENTENCE_END.split(text.casefold())]
+    words = [w for x in sents for w in x]
     if not words:
         return 0.0
     letters = "".join(words)
@@ -97,6 +100,7 @@ def repeated_share(text: str) -> float:
         _tandem_words(words, covered)
     else:
         _passages(letters, 12, covered, None)
+    _sentences(sents, spaced, covered)
     return sum(covered) / n
 
 
@@ -154,6 +158,19 @@ def _passages(seq: str | list[str], least: int, covered: bytearray, lens: list[i
             covered[at[i] : at[i + least]] = b"\x01" * (at[i + least] - at[i])
 
 
+def _sentences(sents: list[list[str]], spaced: bool, covered: bytearray) -> None:
+    """Mark whole sentences that were said before."""
+    seen: set[str] = set()
+    i = 0
+    for words in sents:
+        key = "".join(words)
+        if len(words) > 1 if spaced else len(key) >= 4:
+            if key in seen:
+                covered[i : i + len(key)] = b"\x01" * len(key)
+            seen.add(key)
+        i += len(key)
+
+
 MEASURES = "region_id long, field string, band string, ratio double, chunk_ratio double, share double"
 
 
@@ -162,11 +179,11 @@ def _texts(regions: DataFrame) -> DataFrame:
     return regions.select("region_id", F.explode(pair).alias("x")).select("region_id", "x.field", "x.text")
 
 
-def measure(texts: DataFrame) -> DataFrame:
+def measure(texts: DataFrame, every: bool = True) -> DataFrame:
     """(region_id, field, band, ratio, chunk_ratio, share) of rows (region_id, field, text).
 
-    ``share`` is 0 outside the repetitive band. Null texts have no row; empty
-    and letterless texts are ordinary.
+    Without ``every``, ``share`` is null (not measured) outside the repetitive
+    band. Null texts have no row; empty and letterless texts are ordinary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +193,7 @@ def measure(texts: DataFrame) -> DataFrame:
             got = []
             for t in coded.dictionary.to_pylist():
                 band, whole, least = bands.band(normal(t))
-                got.append((band, round(whole, 6), round(least, 6), round(repeated_share(t), 6) if band == "repetitive" else 0.0))
+                got.append((band, round(whole, 6), round(least, 6), round(repeated_share(t), 6) if every or band == "repetitive" else None))
             rows = [got[i] for i in coded.indices.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("region_id"), b.column("field"), *(pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.float64()), (2, pa.float64()), (3, pa.float64())))],
@@ -189,7 +206,7 @@ def measure(texts: DataFrame) -> DataFrame:
 def repetitive(regions: DataFrame) -> DataFrame:
     """(region_id, field): texts of at least 30 characters more than half of which repeats what came earlier."""
     long_enough = _texts(regions).where(F.length("text") >= MIN_CHARS)
-    return measure(long_enough).where(F.col("share") > SHARE).select("region_id", "field").distinct()
+    return measure(long_enough, every=False).where(F.col("share") > SHARE).select("region_id", "field").distinct()
 
 
 def shares(regions: DataFrame) -> DataFrame:

@@ -76,5 +76,23 @@ def test_operator(spark):
     assert R.repetitive(df.where("false")).count() == 0
 
 
+TWICE = [
+    # outside the repetitive band: a sentence among others is said twice
+    ("库凯亚托塔正在最后的屋顶上寻找白色面具。你为什么要在学校后面藏起咖啡馆的招牌？莫罗亚索泽还活着吗？库凯亚托塔正在最后的屋顶上寻找白色面具。", 19 / 65),
+    ("Is Rimi still alive? Peyaze is looking for the map in the harbor. I can hear someone in the forest. Is Rimi still alive?", 16 / 93),
+    ("森で誰かの声が聞こえる。クユケバモはまだ生きているのか？白い仮面をなくしたら、家に帰れなくなる。森で誰かの声が聞こえる……", 11 / 55),
+    ("The rain has not stopped since we met at the old mill near the harbor.", 0.0),
+    ("Mune! The rain has not stopped since we met at the old mill. Mune!", 0.0),
+]
+
+
+@pytest.mark.parametrize("text,share", TWICE)
+def test_shares_are_measured_in_every_band(spark, text, share):
+    assert BANDS.band(R.normal(text))[0] != "repetitive"
+    df = spark.createDataFrame([(1, text, None)], "region_id long, source_text string, translated_text string")
+    assert [(r["region_id"], r["field"], r["share"]) for r in R.shares(df).collect()] == [(1, "source_text", pytest.approx(share, abs=1e-6))]
+    assert R.repetitive(df).count() == 0
+
+
 def test_very_long_text():
     assert R.is_repetitive("All work and no play. " * 20000, BANDS)
