@@ -103,21 +103,33 @@ class Limits:
         return False
 
 
+def is_caption(text: str) -> bool:
+    """A text with a letter and without any end mark. Thai, which has none, doesn't tell."""
+    e = end_of(text)
+    return e.kind == "open" and not e.thai and _INNER.search(text) is None and _LETTER.search(text) is not None
+
+
 def length_profile(regions: DataFrame) -> DataFrame:
-    """(source, ends, measure, size, n): how many unterminated or dotted translations of each feed have each length.
+    """(source, ends, measure, size, n): how many different unterminated or dotted translations of each feed have each length.
 
-    A pre-aggregated count over all rows; it has one row per feed and length.
+    A text that a feed repeats counts once. Ends that are the source's own
+    don't count: unterminated translations of captions (``is_caption``) and
+    dotted ones of speech that trails away. A pre-aggregated count over all
+    rows; it has one row per feed and length.
     """
     t = F.col("translated_text")
+    s = F.regexp_replace(F.coalesce("source_text", F.lit("")), "[\\s­​-‏⁠﻿　]+$", "")
+    caption = s.rlike(r"[\p{L}\p{M}\p{N},;:、，]$") & s.rlike(r"\p{L}") & ~s.rlike("[.!?。！？．]|[฀-๿]$")
     bare = F.regexp_replace(t, "[\\s­​-‏⁠﻿　]+$", "")
-    ends = F.when(bare.rlike(r"(\.{2,}|…)$"), "ellipsis").when(bare.rlike(r"[\p{L}\p{M}\p{N},;:、，]$"), "open")
-    long = regions.select("source", ends.alias("ends"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes")).where("ends is not null and chars >= 20 and source is not null")
+    trails = s.rlike(r"(\.{2,}|…|⋯|．{2,}|‥)$")
+    ends = F.when(bare.rlike(r"(\.{2,}|…)$"), F.when(~trails, "ellipsis")).when(bare.rlike(r"[\p{L}\p{M}\p{N},;:、，]$") & ~caption, "open")
+    long = regions.select("source", ends.alias("ends"), t.alias("text"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes")).where("ends is not null and chars >= 20 and source is not null").distinct()
     both = long.select("source", "ends", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("measure", "size"))
     return both.groupBy("source", "ends", "measure", "size").agg(F.count("*").alias("n"))
 
 
 def field_limits(regions: DataFrame, least: int = 5, factor: float = 8.0, width: int = 12) -> DataFrame:
-    """(source, measure, ends, size): lengths with at least ``least`` texts and ``factor`` times the mean of the ``width`` lengths on either side."""
+    """(source, measure, ends, size): lengths with at least ``least`` different texts and ``factor`` times the mean of the ``width`` lengths on either side."""
     from pyspark.sql import Window as W
 
     p = length_profile(regions)
@@ -142,7 +154,8 @@ def is_cut(text: str, source_text: str | None, feed: str | None, limits: Limits,
     """Whether a translation was cut.
 
     The source text tells what the end should be: a caption, name or cry
-    without an end mark has a source without one (or a very short source).
+    without an end mark has a source without one (or a very short source),
+    and is whole even at the length of a field limit.
     """
     if not _LETTER.search(text):
         return False
@@ -160,7 +173,7 @@ def is_cut(text: str, source_text: str | None, feed: str | None, limits: Limits,
         cut = True
     elif e.kind == "closed":
         cut = False
-    elif limits.at(feed, "open", text):
+    elif limits.at(feed, "open", text) and not is_caption(s):
         cut = True
     elif e.thai:
         cut = False  # Thai sentences have no end mark

@@ -57,3 +57,29 @@ def test_feed_limits_are_found_and_shares_reported(spark):
     shares = {r["source"]: (r["translations"], r["cut"], r["share"]) for r in T.feed_shares(df).collect()}
     assert shares["limited"] == (200, 67, 0.335) and shares["free"][1] == 0 and shares[None] == (1, 1, 1.0)
     assert T.cut_regions(df.where("false")).count() == 0 and T.feed_shares(df.where("false")).count() == 0
+
+
+CAPTION, OTHER = "昨夜港で", "嵐の前に橋のそばで"
+
+
+def test_whole_captions_make_no_limit(spark):
+    rows = [(i, "few", CAPTION, "In the forest, this morning", "c", "e") for i in range(8)] + [(8, "few", SENT, "I can hear someone.", "c", "e")]
+    # different captions of one length, different trailing speech of one length
+    rows += [(100 + i, "many", CAPTION, f"In the forest, day number {i:03d}", "c", "e") for i in range(30)]
+    rows += [(200 + i, "trails", "港で誰かの声が……", f"I can hear someone {i:03d}...", "c", "e") for i in range(30)]
+    rows += [(300, "trails", SENT, "I can hear someone 999...", "c", "e")]
+    # a sentence cut the same way again and again is one text
+    rows += [(400 + i, "again", SENT, "ฉันได้ยินเสียงใครบางคนที่ท่าเรือน", "c", "e") for i in range(8)]
+    df = spark.createDataFrame(rows, ROWS)
+    assert T.field_limits(df).count() == 0
+    assert T.cut_regions(df).count() == 0
+    assert all(r["cut"] == 0 for r in T.feed_shares(df).collect())
+
+
+def test_a_caption_at_a_true_limit_is_whole():
+    lim = T.Limits({"bytes": [("bytes", "open", 27)]})
+    assert not T.is_cut("At the bridge, last night", OTHER, "bytes", lim, BANDS)
+    assert T.is_cut("I can hear someone in the h", SENT, "bytes", lim, BANDS)
+    assert T.is_cut("I can hear someone in the h", "", "bytes", lim, BANDS)
+    assert T.is_cut("ฉันได้ยินเ"[:9], SENT, "bytes", lim, BANDS)
+    assert T.is_cut("Who is there? I can hear a", OTHER, "bytes", lim, BANDS)
