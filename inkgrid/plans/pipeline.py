@@ -1,4 +1,6 @@
-"""The page pipeline as one plan: detection rows to regions, candidates, translation and erasing as branches, joined again by page.
+"""The page pipeline as one plan from recognised regions: candidates, translation and erasing as branches, joined again by page.
+
+``postprocess`` makes regions of detection rows; ``run`` doesn't call it.
 
 Model stages are plug-ins with the shape of ``mapInArrow``; the module has
 deterministic stubs, never a made-up model result.
