@@ -1,12 +1,15 @@
 """Repetition inside single texts (problem 4).
 
 Method: compression bands. The normalised text (case, punctuation, spacing and
-numbers removed) is compressed with zstandard as a whole and in fixed chunks;
-the ratio falls into the repetitive band, the ordinary band or the
-incompressible band by limits that depend on the length. An exact measure
-tells which share of a text repeats content that came earlier in it: of every
-text where shares are asked for, of those in the repetitive band where only
-texts that repeat more than half are.
+numbers removed) is compressed with zstandard as a whole and in fixed chunks.
+Limits that depend on the length decide: up to the lower limit the text is
+repetitive, above the upper one it is not. Only a text between the two, or one
+of whose chunks alone is repetitive, is doubtful, and an exact measure of the
+repeated share settles it. Raw texts that hardly compress at all are
+incompressible.
+
+The exact measure is also the answer where shares are asked for; it is taken
+of every text, in whatever band.
 """
 
 from __future__ import annotations
@@ -33,19 +36,26 @@ def normal(text: str) -> str:
     return _NOISE.sub("", text).casefold()
 
 
-def upper_limit(n_bytes: int) -> float:
-    """Ratio up to which a text of so many bytes is in the repetitive band.
+def sure_limit(n_bytes: int) -> float:
+    """Ratio up to which a text of so many bytes is repetitive.
 
-    A text half of which repeats compresses to about half of its bytes, plus
-    the frame and the entropy tables, which weigh more in short texts; without
-    repetition such short texts hardly compress at all.
+    A text half of which repeats compresses to half of what its distinct half
+    takes, plus a constant for the frame, the entropy tables and the matches
+    that weighs the more the shorter the text is. Under some 90 bytes the
+    constant outweighs the text and only a clear repetition is sure.
     """
-    return 0.60 + 12.0 / max(n_bytes, 12)
+    return min(0.62, 0.30 + 28.0 / max(n_bytes, 1))
 
 
-def lower_limit_incompressible(n_bytes: int) -> float:
-    """Ratio from which a text is in the incompressible band."""
-    return 0.97 + 16.0 / max(n_bytes, 16)
+def doubt_limit(n_bytes: int) -> float:
+    """Ratio above which a text of so many bytes is not repetitive."""
+    n = max(n_bytes, 1)
+    return min(0.36 + 40.0 / n, 0.60 + 16.0 / n)
+
+
+def incompressible_limit(n_bytes: int) -> float:
+    """Ratio from which a raw text is incompressible; below 256 bytes none can be told from ordinary text."""
+    return 0.70 + 50.0 / n_bytes if n_bytes >= 256 else float("inf")
 
 
 class Bands:
@@ -58,20 +68,27 @@ class Bands:
     def ratio(self, data: bytes) -> float:
         return len(self.c.compress(data)) / len(data)
 
-    def band(self, norm: str) -> tuple[str, float, float]:
-        """('repetitive' | 'ordinary' | 'incompressible', ratio of the whole, least ratio of a chunk)."""
-        data = norm.encode()
-        if not data:
-            return "ordinary", 1.0, 1.0
-        whole = self.ratio(data)
+    def band(self, text: str) -> tuple[str, float, float]:
+        """('repetitive' | 'doubtful' | 'ordinary' | 'incompressible', ratio of the whole, least ratio of a chunk).
+
+        Texts under 30 characters and letterless ones are ordinary, unless
+        they are incompressible.
+        """
+        data, raw = normal(text).encode("utf-8", "replace"), text.encode("utf-8", "replace")
+        n, whole = len(data), 1.0
         least = whole
-        if len(data) > CHUNK:
-            # the last chunk takes the remainder, so that none is short
-            cuts = list(range(0, len(data) - CHUNK, CHUNK)) or [0]
-            least = min(self.ratio(data[c : (c + CHUNK if k + 1 < len(cuts) else len(data))]) for k, c in enumerate(cuts))
-        if whole <= upper_limit(len(data)) or least <= upper_limit(min(len(data), CHUNK)):
-            return "repetitive", whole, least
-        if whole >= lower_limit_incompressible(len(data)):
+        if data:
+            whole = least = self.ratio(data)
+            if n > CHUNK:
+                # the last chunk takes the remainder, so that none is short
+                cuts = list(range(0, n - CHUNK, CHUNK)) or [0]
+                least = min(self.ratio(data[c : (c + CHUNK if k + 1 < len(cuts) else n)]) for k, c in enumerate(cuts))
+            if len(text) >= MIN_CHARS:
+                if whole <= sure_limit(n):
+                    return "repetitive", whole, least
+                if whole <= doubt_limit(n) or least <= sure_limit(min(n, CHUNK)):
+                    return "doubtful", whole, least
+        if len(raw) >= 256 and self.ratio(raw) >= incompressible_limit(len(raw)):
             return "incompressible", whole, least
         return "ordinary", whole, least
 
@@ -83,8 +100,8 @@ def repeated_share(text: str) -> float:
     period before, for at least one whole period (words said over and over, a
     drawn-out cry, a looping fragment). A recurring passage: at least six
     words (or twelve letters where words aren't spaced) that occurred before.
-    A whole sentence or line of at least two words (or four letters) that was
-    said before. Shorter recurrences (a name, 'in the') are ordinary language.
+    A whole sentence, line or cry of any length that was said before. Shorter
+    recurrences inside sentences (a name, 'in the') are ordinary language.
     """
     sents = [_TOKEN.findall(x) for x in _SENTENCE_END.split(text.casefold())]
     words = [w for x in sents for w in x]
@@ -100,7 +117,7 @@ def repeated_share(text: str) -> float:
         _tandem_words(words, covered)
     else:
         _passages(letters, 12, covered, None)
-    _sentences(sents, spaced, covered)
+    _sentences(sents, covered)
     return sum(covered) / n
 
 
@@ -126,20 +143,26 @@ def _tandem_words(words: list[str], covered: bytearray) -> None:
     for w in words:
         at.append(at[-1] + len(w))
     where: dict[str, int] = {}
+    tried: dict[int, int] = {}  # how far words were found equal to those a period before, for runs short of a period
     run_end = 0
     for i, w in enumerate(words):
         j = where.get(w)
-        if j is not None and i >= run_end:
-            p = i - j
-            k = i
-            while k < n and words[k] == words[k - p]:
-                k += 1
-            if k - i >= p and (p > 1 or k - i >= 2):
-                if k < n and words[k - p].startswith(words[k]):
-                    k += 1
-                covered[at[i] : at[k]] = b"\x01" * (at[k] - at[i])
-                run_end = k
         where[w] = i
+        if j is None or i < run_end:
+            continue
+        p = i - j
+        if i < tried.get(p, 0):
+            continue  # part of a run that began earlier and was too short
+        k = i
+        while k < n and words[k] == words[k - p]:
+            k += 1
+        if k - i < p or (p == 1 and k - i < 2):
+            tried[p] = k
+            continue
+        if k < n and words[k - p].startswith(words[k]):
+            k += 1
+        covered[at[i] : at[k]] = b"\x01" * (at[k] - at[i])
+        run_end = k
 
 
 def _passages(seq: str | list[str], least: int, covered: bytearray, lens: list[int] | None) -> None:
@@ -158,16 +181,15 @@ def _passages(seq: str | list[str], least: int, covered: bytearray, lens: list[i
             covered[at[i] : at[i + least]] = b"\x01" * (at[i + least] - at[i])
 
 
-def _sentences(sents: list[list[str]], spaced: bool, covered: bytearray) -> None:
-    """Mark whole sentences that were said before."""
+def _sentences(sents: list[list[str]], covered: bytearray) -> None:
+    """Mark whole sentences, lines and cries that were said before."""
     seen: set[str] = set()
     i = 0
     for words in sents:
         key = "".join(words)
-        if len(words) > 1 if spaced else len(key) >= 4:
-            if key in seen:
-                covered[i : i + len(key)] = b"\x01" * len(key)
-            seen.add(key)
+        if key and key in seen:
+            covered[i : i + len(key)] = b"\x01" * len(key)
+        seen.add(key)
         i += len(key)
 
 
@@ -182,8 +204,8 @@ def _texts(regions: DataFrame) -> DataFrame:
 def measure(texts: DataFrame, every: bool = True) -> DataFrame:
     """(region_id, field, band, ratio, chunk_ratio, share) of rows (region_id, field, text).
 
-    Without ``every``, ``share`` is null (not measured) outside the repetitive
-    band. Null texts have no row; empty and letterless texts are ordinary.
+    Without ``every``, ``share`` is null (not measured) but for doubtful texts.
+    Null texts have no row; empty and letterless texts are ordinary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +214,8 @@ def measure(texts: DataFrame, every: bool = True) -> DataFrame:
             coded = b.column("text").dictionary_encode()
             got = []
             for t in coded.dictionary.to_pylist():
-                band, whole, least = bands.band(normal(t))
-                got.append((band, round(whole, 6), round(least, 6), round(repeated_share(t), 6) if every or band == "repetitive" else None))
+                band, whole, least = bands.band(t)
+                got.append((band, round(whole, 6), round(least, 6), round(repeated_share(t), 6) if every or band == "doubtful" else None))
             rows = [got[i] for i in coded.indices.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("region_id"), b.column("field"), *(pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.float64()), (2, pa.float64()), (3, pa.float64())))],
@@ -204,15 +226,19 @@ def measure(texts: DataFrame, every: bool = True) -> DataFrame:
 
 
 def repetitive(regions: DataFrame) -> DataFrame:
-    """(region_id, field): texts of at least 30 characters more than half of which repeats what came earlier."""
+    """(region_id, field): texts of at least 30 characters that the bands find repetitive, or find doubtful and whose repeated share is more than half."""
     long_enough = _texts(regions).where(F.length("text") >= MIN_CHARS)
-    return measure(long_enough, every=False).where(F.col("share") > SHARE).select("region_id", "field").distinct()
+    case = (F.col("band") == "repetitive") | ((F.col("band") == "doubtful") & (F.col("share") > SHARE))
+    return measure(long_enough, every=False).where(case).select("region_id", "field").distinct()
 
 
 def shares(regions: DataFrame) -> DataFrame:
-    """(region_id, field, share): the share of repeated content of every text, of any length."""
-    return measure(_texts(regions)).select("region_id", "field", "share").distinct()
+    """(region_id, field, band, share): the band and the share of repeated content of every text, of any length."""
+    return measure(_texts(regions)).select("region_id", "field", "band", "share").distinct()
 
 
 def is_repetitive(text: str, bands: Bands) -> bool:
-    return len(text) >= MIN_CHARS and bands.band(normal(text))[0] == "repetitive" and repeated_share(text) > SHARE
+    if len(text) < MIN_CHARS:
+        return False
+    band = bands.band(text)[0]
+    return band == "repetitive" or (band == "doubtful" and repeated_share(text) > SHARE)
