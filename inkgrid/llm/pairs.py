@@ -1,8 +1,8 @@
 """Broken prompt and response pairs (problem 5).
 
 Method: each response is compressed with its prompt as a raw zstandard
-dictionary; a response that adds almost nothing to its prompt is a candidate
-copy and is compared exactly. Refusals come from dictionaries of refusal
+dictionary, and the prompt with the response; a pair of which neither adds
+a byte to the other is a copy. Refusals come from dictionaries of refusal
 phrases in nine languages, the language of the whole response from the
 character models of ``langid``, truncation from the terminal context judged
 in ``truncation``.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm import langid, lookalike, repetition, truncation
+from inkgrid.operators.skew import salted_join
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -42,11 +43,8 @@ REFUSALS = {
     "th": [r"(ไม่สามารถ|ขอปฏิเสธ|ไม่อาจ)[^.]{0,40}(แปล|คำขอ|ข้อความนี้|เนื้อหา)", r"ในฐานะ(ผู้ช่วย|ปัญญาประดิษฐ์|โมเดล)"],
 }
 _REFUSAL = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.IGNORECASE)
-_HINT = re.compile(r"assist|translat|request|render|content|guidelin|übersetz|anfrag|richtlin|tradu|demande|directiv|solicitud|peticion|petición|asisten|перев|запрос|помощник|ассистент|правила|翻訳|依頼|リクエスト|アシスタント|翻译|译文|请求|助手|文字|번역|요청|도우미|어시스턴트|แปล|คำขอ|ผู้ช่วย|ข้อความนี้", re.IGNORECASE)
-
-
 def is_refusal(reply: str) -> bool:
-    return _HINT.search(reply) is not None and _REFUSAL.search(reply.replace("’", "'")) is not None
+    return _REFUSAL.search(reply.replace("’", "'")) is not None
 
 
 # --- copies ----------------------------------------------------------------------------------
@@ -75,28 +73,49 @@ class Folder:
         return _BLANKS.sub("", t)
 
 
-def dictionary_ratio(prompt: bytes, reply: bytes) -> float:
-    """Compressed size of the reply, with the prompt as raw dictionary, over its size."""
-    if not reply:
-        return 1.0
-    d = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    c = zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(c.compress(reply)) / len(reply)
+LEAST = 32  # bytes; shorter texts are tiled to so many, since a frame outweighs them
+
+
+def compressed(data: bytes, prompt: bytes | None = None) -> int:
+    """Bytes of ``data`` compressed, with ``prompt`` as raw dictionary."""
+    size = len(data) + len(prompt or b"")
+    params = zstandard.ZstdCompressionParameters(
+        window_log=max(10, size.bit_length() + 1), hash_log=min(18, max(8, size.bit_length())), chain_log=min(18, max(8, size.bit_length())), search_log=4, min_match=3, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    d = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if prompt else None
+    return len(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress(data))
 
 
-def is_copy(prompt: str, reply: str, fold: Folder) -> bool:
+def extra(prompt: bytes, reply: bytes) -> int:
+    """Bytes that the reply takes beside its prompt beyond what it takes beside itself: 0 for a copy, which is one match."""
+    return compressed(reply, prompt) - compressed(reply, reply)
+
+
+def is_copy(prompt: str, reply: str, fold: Folder, slack: int = 0) -> bool:
     """The reply is the prompt, as far as the eye can tell.
 
-    Folded copies compress to little more than a frame beside their prompt;
-    replies that don't are none, whatever they share. An exact comparison
-    follows. Replies without a character of the prompt share nothing that
-    could be matched and aren't compressed.
+    Both are folded, and each is compressed with the other as dictionary. The
+    reply may cost at most ``slack`` bytes more than a single match with the
+    prompt (else it says something else), and the prompt no more with the
+    reply (else it is a fragment); a text said twice is one match too, so the
+    lengths must agree as well. Without slack a copy is the whole text; a
+    changed word costs some 12 bytes, so ``slack=16`` takes in near copies.
+    Replies without a character of the prompt share nothing that could be
+    matched and aren't compressed; texts under three bytes are too short for
+    the compressor and are compared as they are.
     """
     a, b = fold(prompt), fold(reply)
-    if not b or set(a).isdisjoint(b):
+    if not a or not b or set(a).isdisjoint(b):
+        return False
+    x, y = a.encode("utf-8", "replace"), b.encode("utf-8", "replace")
+    if abs(len(x) - len(y)) > slack:
         return False
-    y = b.encode()
-    return dictionary_ratio(a.encode(), y) <= 0.5 + 16 / len(y) and a == b
+    if min(len(x), len(y)) < 3:
+        return a == b
+    k = -(-LEAST // min(len(x), len(y)))
+    x, y = x * k, y * k
+    return extra(x, y) <= slack and extra(y, x) <= slack
 
 
 # --- operator --------------------------------------------------------------------------------
@@ -138,10 +157,11 @@ def defects(regions: DataFrame, pages: DataFrame, volumes: DataFrame, models) ->
 
     Pairs without a letter in the prompt or with a null reply are left out;
     pages without a volume can't show 'other_language'. Only a few bytes a
-    pair are shuffled to meet the volume's target language.
+    pair are shuffled to meet the volume's target language, with pages that
+    hold a large share of all rows dealt over several tasks.
     """
     v = judge(regions, models, truncation.limits_of(regions))
     side = pages.select("page_id", "sub_dir").join(volumes.select("sub_dir", "target_lang"), "sub_dir").select("page_id", "target_lang").dropDuplicates(["page_id"])
-    j = v.join(side, "page_id", "left")
+    j = salted_join(v, side, "page_id", regions, F.col("region_id"))
     defect = F.coalesce(F.col("defect"), F.when(F.col("lang") != F.col("target_lang"), "other_language"), F.when(F.col("cut"), "truncated"))
     return j.select("region_id", defect.alias("defect")).where("defect is not null").distinct()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from inkgrid.llm import langid, pairs as P
@@ -36,9 +38,25 @@ def test_copies(reply, copy):
     assert P.is_copy("港で誰かの声が聞こえる。", reply, FOLD) is copy
 
 
-def test_dictionary_ratio_tells_copies():
-    a = ("We found the lantern behind the school. " * 3).encode()
-    assert P.dictionary_ratio(a, a) < 0.3 < P.dictionary_ratio(a, bytes(range(120)))
+def test_fragments_short_texts_and_slack():
+    a = "We found the lantern behind the school three days ago, and nobody has opened this door for 57 years."
+    near = a.replace("lantern", "letter")
+    assert not P.is_copy(a, near, FOLD) and P.is_copy(a, near, FOLD, slack=16)
+    assert not P.is_copy(a, "We found the lantern", FOLD, 16) and not P.is_copy("We found the lantern", a, FOLD, 16)
+    assert not P.is_copy(a, "Nobody found the door behind the lantern, and this school has opened for three years.", FOLD, 16)
+    assert P.is_copy("OK!", "OK!", FOLD) and P.is_copy("力", "力", FOLD) and P.is_copy("a", "a", FOLD)
+    assert not P.is_copy("ペム!", "Pemu!", FOLD) and not P.is_copy("THUD", "BANG", FOLD) and not P.is_copy("a", "b", FOLD) and not P.is_copy("", "a", FOLD)
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 40, 400, 200000])
+def test_dictionary_agrees_with_comparison(n):
+    rnd = random.Random(n)
+    for _ in range(3 if n > 1000 else 200):
+        t = "".join(rnd.choice("abcdefghij klmnop港で誰かの声が") for _ in range(n)) + "x"
+        assert P.is_copy(t, t, FOLD)
+        i = rnd.randrange(len(t))
+        for other in (t[:i] + "q" + t[i + 1 :], t[:i] + "誠" + t[i:], t[:i] + t[i + 1 :], t + t):
+            assert P.is_copy(t, other, FOLD) is (FOLD(t) == FOLD(other)), (t, other)
 
 
 def test_defects(spark):
