@@ -98,7 +98,7 @@ def test_mixture_meets_targets_and_caps(spark):
 def test_copies_sum_to_the_target():
     classes = [(1, 10, 10), (4, 20, 240), (6, 5, 300), (0, 3, 0)]
     for target in (0, 50, 300, 700, 1649, 5000):
-        c = M.solve_copies(classes, target, 3)
+        c = M.solve_copies(classes, target, 3, lean=0.1)
         got = sum(c[k] * t for k, _n, t in classes)
         assert abs(got - min(target, 3 * 550)) < 1e-6 and c[0] == 0.0 and max(c.values()) <= 3
 
@@ -109,3 +109,22 @@ def test_inclusion_is_about_the_expected_copies(spark):
     for seed in (1, 2):
         uses = [r["uses"] for r in M.mixture(df, t, seed=seed).collect()]
         assert sum(uses) == 1600
+
+
+def test_plan_agrees_with_plain_sums(spark):
+    """The sources that the plan finds short are those whose capped tokens are less than the target, found by sums."""
+    rows = [(i, "word " * (1 + i % 23), "abcde"[i % 5] if i % 4 else "a") for i in range(800)]
+    t = spark.createDataFrame([("a", 0.3, 1), ("b", 0.2, 1), ("c", 0.15, 1), ("d", 0.25, 2), ("e", 0.05, 3), ("f", 0.0, 1), ("g", 0.05, None)], TARGETS)
+    counts = bpe.token_counts(docs(spark, rows)).collect()
+    total = sum(r["tokens"] for r in counts)
+    want = {r["source"] for r in t.collect() if (r["max_repeats"] or 0) * sum(x["tokens"] for x in counts if x["source"] == r["source"]) < r["target_share"] * total}
+    assert {r[0] for r in M.unreachable(docs(spark, rows), t).collect()} == want and {"g"} < want
+
+
+@pytest.mark.parametrize("lean", [0.0, 0.1])
+def test_a_source_misses_its_target_by_half_a_document_at_most(spark, lean):
+    rows = [(i, "word " * (1 + (i * 37) % 61), "ab"[i % 2]) for i in range(500)]
+    t = spark.createDataFrame([("a", 0.33, 1), ("b", 0.61, 3)], TARGETS)
+    counts = {r["doc_id"]: r["tokens"] for r in bpe.token_counts(docs(spark, rows)).collect()}
+    for r in M.actual_shares(docs(spark, rows), t, lean=lean).collect():
+        assert abs(r["tokens_used"] - r["target_share"] * sum(counts.values())) <= max(counts.values()) / 2 + 1
