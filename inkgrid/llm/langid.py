@@ -1,14 +1,16 @@
 """Language labels for whole texts and for single-language stretches (problem 1).
 
 Method: one interpolated Kneser-Ney character model per language. The n-grams
-of all models lie in one sorted 64-bit hash array per order, with a row of
-log-probabilities (a column per language) beside it, so that a batch of texts
-is scored by one ``searchsorted`` per order. The language with the lowest
-length-normalised cross-entropy is chosen; it is rejected when its lead over
-the runner-up is below a margin calibrated on held-out training texts.
+of the models of one script lie in one sorted 64-bit hash array per order, with
+a row of log-probabilities (a column per language) beside it, so that a batch
+of texts is scored by one search per order. The language with the lowest
+length-normalised cross-entropy (nats a character) is chosen. Two calibrated
+limits reject it: the cross-entropy of its own language's held-out texts, so
+that a language that no model knows is none of the nine, and the lead over the
+runner-up, so that what fits two languages is unsure.
 
 The models are fitted on a bounded sample of labelled rows (``per_label`` rows
-of each label and table, the rows with the smallest hash of their key).
+of each label and column, the rows with the smallest hash of their key).
 Labels may be wrong, so fitting runs twice: the first models relabel the
 sample, rows that contradict their label are dropped, and the second models
 are fitted on the rest.
@@ -16,9 +18,10 @@ are fitted on the rest.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkgrid.operators.skew import salted_join
+
 LANGS = ("en", "de", "fr", "es", "ru", "ja", "zh", "ko", "th")
 
 # ISO 639-2/3 codes of the nine languages beside their two-letter codes.
@@ -196,10 +201,22 @@ class Models:
 
 @dataclass
 class Bank:
-    """Models by script, and the lead in nats below which a choice is rejected."""
+    """Models by script; the lead in nats below which a choice is unsure; for each language the cross-entropy (nats a character) above which a sentence isn't written in it."""
 
     families: dict[int, Models]
     margin: float = 6.0
+    limits: np.ndarray = field(default_factory=lambda: np.full(len(LANGS), np.inf))
+
+    def save(self, path: str) -> None:
+        """Write to a file; ``Bank.load`` reads it, so that several queries share one fit."""
+        with open(path, "wb") as f:
+            pickle.dump(self, f)
+
+    @staticmethod
+    def load(path: str) -> Bank:
+        """Read what ``save`` wrote (a trusted file of one's own)."""
+        with open(path, "rb") as f:
+            return pickle.load(f)
 
 
 def hashes(codes: np.ndarray) -> list[np.ndarray]:
@@ -298,6 +315,10 @@ def _end_table() -> np.ndarray:
     return _CACHE["e"]
 
 
+CLEAR = 0.35  # nats a character: with such a lead a sentence of unheard-of words is still in its language
+VARIED = 8  # different letters that a sentence has at least
+
+
 @dataclass
 class Decided:
     """Stretches of a batch of texts (arrays by stretch) and the language of each whole text (arrays by text; -1 none)."""
@@ -305,21 +326,27 @@ class Decided:
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    size: np.ndarray  # characters, with the break before
     lang: np.ndarray
-    lead: np.ndarray
+    entropy: np.ndarray  # nats a character in the chosen language
+    lead: np.ndarray  # nats over the runner-up; infinite where no other language writes the script
     sure: np.ndarray
+    foreign: np.ndarray  # a sentence that no model accepts
     whole: np.ndarray
     whole_sure: np.ndarray
     single: np.ndarray  # all sure stretches of the text have one language
+    unknown: np.ndarray  # the text has foreign sentences and no sure one
 
 
 def decide(bank: Bank, texts: list[str]) -> Decided:
     """Cut texts into stretches and give each its language.
 
     A stretch is cut at sentence marks, brackets, line breaks and changes of
-    script. It is sure if it is long enough to be a sentence (three words, or
-    five letters where words aren't spaced) and its lead reaches the margin.
-    Positions are those of ``plain(text)`` where that differs from the text.
+    script. One that is long enough to be a sentence (three words, or five
+    letters where words aren't spaced) is foreign if its cross-entropy is over
+    the limit of its best language without a clear lead, and sure if not and
+    its lead reaches the margin. Positions are those of ``plain(text)`` where that differs from the
+    text.
     """
     fold, script, letter = char_tables()
     texts = [plain(t) for t in texts]
@@ -335,6 +362,7 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     cut[starts] = True
     b = np.flatnonzero(cut)
     stop = np.append(b[1:], len(raw))
+    size = stop - b + 1
     letters = np.add.reduceat(le.astype(np.int32), b)
     spaces = np.add.reduceat(((folded == 32) & np.concatenate([[False], le[:-1]])).astype(np.int32), b)
     kind = np.maximum.reduceat(np.where(le, sc, 0), b)
@@ -342,66 +370,80 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     n = len(texts)
     lang = np.full(len(b), -1)
     lead = np.zeros(len(b))
-    sums = np.full((len(b), len(LANGS)), -np.inf)
+    entropy = np.full((len(b), len(LANGS)), np.inf)
     for family, m in bank.families.items():
         k = np.flatnonzero(kind == family)
         if not len(k):
             continue
-        cols = [LANGS.index(x) for x in m.langs]
-        if len(cols) == 1:  # nothing to choose between: no other language is written so
-            lang[k], lead[k] = cols[0], 4.0 * letters[k]
-            sums[k, cols[0]] = -2.0 * letters[k]
-            continue
+        cols = np.array([LANGS.index(x) for x in m.langs])
         # the stretches of this script in a row, each led by a line break
-        size = stop[k] - b[k] + 1
-        first = np.cumsum(size) - size
-        at = np.repeat(b[k] - 1 - first, size) + np.arange(size.sum())
+        first = np.cumsum(size[k]) - size[k]
+        at = np.repeat(b[k] - 1 - first, size[k]) + np.arange(size[k].sum())
         codes = folded[at]
         codes[first] = 10
-        got = np.add.reduceat(m.score(codes), first, axis=0)
-        sums[k[:, None], cols] = got
-        lang[k] = np.array(cols)[np.argmax(got, axis=1)]
-        two = np.partition(got, -2, axis=1)
-        lead[k] = two[:, -1] - two[:, -2]
-    own = np.where(kind >= 3, letters >= 5, (spaces >= 2) & (letters >= 9))
-    sure = own & (lead >= bank.margin) & (kind > 0)
-    # whole texts: stretches weigh by their own sums; other scripts pay for each letter
-    spread = np.where(np.isfinite(sums), sums, np.where(kind > 0, sums.max(axis=1, initial=-1e9) - 4.0 * letters, 0.0)[:, None])
+        h = -np.add.reduceat(m.score(codes), first, axis=0) / size[k][:, None]
+        entropy[k[:, None], cols] = h
+        lang[k] = cols[np.argmin(h, axis=1)]
+        if len(cols) == 1:
+            lead[k] = np.inf
+        else:
+            two = np.partition(h, 1, axis=1)
+            lead[k] = (two[:, 1] - two[:, 0]) * size[k]
+    best = entropy.min(axis=1, initial=np.inf)
+    own = np.where(kind >= 3, letters >= 5, (spaces >= 2) & (letters >= 9)) & (lang >= 0)
+    foreign = own & (best > bank.limits[lang]) & (np.isinf(lead) | (lead < CLEAR * size))
+    for k in np.flatnonzero(foreign):  # a cry said over and over is no sentence; such stretches are few
+        foreign[k] = len(np.unique(folded[b[k] : stop[k]][le[b[k] : stop[k]]])) >= VARIED
+    sure = own & ~foreign & (lead >= bank.margin)
+    # whole texts: stretches weigh by their length; other scripts pay four nats a letter
+    nats = np.where(np.isfinite(entropy), entropy * size[:, None], np.where(kind > 0, np.where(np.isfinite(best), best * size, 0) + 4.0 * letters, 0.0)[:, None])
     edge = np.searchsorted(text_of, np.arange(n))
-    total = np.add.reduceat(spread, edge, axis=0)
+    total = np.add.reduceat(nats, edge, axis=0)
     n_letters = np.add.reduceat(letters, edge)
-    two = np.partition(total, -2, axis=1)
-    whole = np.where(n_letters > 0, np.argmax(total, axis=1), -1)
+    two = np.partition(total, 1, axis=1)
+    whole = np.where(n_letters > 0, np.argmin(total, axis=1), -1)
     hi = np.maximum.reduceat(np.where(sure, lang, -1), edge)
     lo = np.minimum.reduceat(np.where(sure, lang, 99), edge)
     single = (hi == lo) & (hi >= 0)
-    whole = np.where(single & (whole >= 0), hi, whole)
-    # a text without a sentence of its own (a cry, a name) is sure only by a wide lead over enough letters
-    whole_sure = (hi >= 0) | ((two[:, -1] - two[:, -2] >= 2 * bank.margin) & (n_letters >= 10))
-    # a script that only one language writes makes any text sure that has no letter of another script
-    kana = (folded >= 0x3041) & (folded < 0x30FB) & le
+    unknown = (hi < 0) & np.maximum.reduceat(foreign.astype(np.int8), edge).astype(bool)
+    whole = np.where(single & (whole >= 0), hi, np.where(unknown, -1, whole))
+    # a text without a sentence of its own (a cry, a name) is sure only by a wide lead over enough letters,
+    # or where all its letters are of a script that only one of the languages writes
     alone = np.minimum.reduceat(np.where(kind > 0, kind, 9), edge) == np.maximum.reduceat(kind, edge)
-    with_kana = np.add.reduceat(np.add.reduceat(kana.astype(np.int32), b), edge) > 0
-    own_script = alone & (np.isin(np.maximum.reduceat(kind, edge), [2, 3, 5]) | with_kana)
-    whole = np.where(own_script & with_kana & (hi < 0), LANGS.index("ja"), whole)
-    whole_sure |= own_script
+    whole_sure = (hi >= 0) | ((two[:, 1] - two[:, 0] >= 2.5 * bank.margin) & (n_letters >= 10)) | (alone & np.minimum.reduceat(np.isinf(lead) | (kind == 0), edge))
     base = starts[text_of]
     lens = np.fromiter((len(t) for t in texts), np.int64, n)
-    return Decided(text_of, b - base, np.minimum(stop - base, lens[text_of]), lang, lead, sure, whole, whole_sure, single | (hi < 0))
+    return Decided(text_of, b - base, np.minimum(stop - base, lens[text_of]), size, lang, best, lead, sure, foreign, whole, whole_sure, single | (hi < 0), unknown)
+
+
+#: What a sentence is labelled that no model accepts.
+NONE = "und"
 
 
-def joined_stretches(d: Decided, n: int) -> list[list[tuple[int, int, str, float]]]:
-    """(start, end, language, confidence) of each text's stretches; unsure ones take the language before them, neighbours of one language are joined."""
+def joined_stretches(bank: Bank, d: Decided, n: int) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, language, confidence) of each text's stretches; unsure ones take the language before them, neighbours of one language are joined.
+
+    The confidence is the odds of the choice against the runner-up, or against
+    the limit of its language if that is nearer (over it, what the lead exceeds
+    a clear one by); 0.5 where unsure. Foreign sentences are ``und``, with the
+    odds of the limit against them.
+    """
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(n)]
     near: dict[int, int] = {}
     for k in np.flatnonzero(d.sure)[::-1]:
         near[int(d.text[k])] = int(d.lang[k])  # ends as the first sure language of each text
     for k in np.flatnonzero(d.lang >= 0):
         i = int(d.text[k])
-        if d.sure[k]:
-            near[i] = int(d.lang[k])
-        lang = LANGS[near.get(i, int(d.whole[i]))]
-        conf = float(1 / (1 + np.exp(-min(50.0, d.lead[k])))) if d.sure[k] else 0.5
+        below = float(bank.limits[d.lang[k]] - d.entropy[k]) * int(d.size[k])
+        if d.foreign[k]:
+            lang, odds = NONE, -below
+        else:
+            if d.sure[k]:
+                near[i] = int(d.lang[k])
+            lang = LANGS[near.get(i, int(d.whole[i]))] if i in near or d.whole[i] >= 0 else NONE
+            clear = float(d.lead[k]) - CLEAR * int(d.size[k])
+            odds = (min(float(d.lead[k]), below) if below > 0 else clear) if d.sure[k] else 0.0
+        conf = float(1 / (1 + np.exp(-min(50.0, max(-50.0, odds)))))
         parts = out[i]
         if parts and parts[-1][2] == lang:
             s, _, _, c = parts[-1]
@@ -421,27 +463,27 @@ def languages(d: Decided, i: int) -> list[str]:
 
 # --- fitting on a sample -----------------------------------------------------------------------
 
+MAX_CHARS = 4000  # longer texts are no training rows (they are labelled like any other)
 
-def _smallest(df: DataFrame, key: Column, per_label: int) -> DataFrame:
-    """``per_label`` rows of each label with the smallest key hash; the partial group limit keeps the shuffle to that many rows a task."""
-    w = W.partitionBy("lang").orderBy(F.xxhash64(key), "text")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_label).select("lang", "text")
 
+def _smallest(df: DataFrame, by: tuple[str, ...], per_label: int, max_chars: int) -> DataFrame:
+    """``per_label`` rows of each group with the smallest key hash; the partial group limit keeps the shuffle to that many rows a task."""
+    w = W.partitionBy(*by).orderBy(F.xxhash64("k"), "text")
+    usable = df.where(F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
+    return usable.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_label).select("lang", "text")
 
-def training_sample(documents: DataFrame | None, regions: DataFrame | None, per_label: int = 400) -> DataFrame:
-    """(lang, text): at most ``3 * per_label`` rows a language, whatever the size of the tables."""
+
+def training_sample(documents: DataFrame | None, regions: DataFrame | None, per_label: int = 400, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(lang, text): at most ``3 * per_label`` rows a language of at most ``max_chars`` characters, whatever the size of the tables. Each table is read once."""
     parts = []
     if documents is not None:
         d = documents.select(normal_code(F.col("lang")).alias("lang"), "text", F.col("doc_id").alias("k"))
-        parts.append(_smallest(d.where("lang is not null and length(text) between 1 and 4000"), F.col("k"), per_label))
+        parts.append(_smallest(d, ("lang",), per_label, max_chars))
     if regions is not None:
-        for text, label in (("source_text", "source_lang"), ("translated_text", "translated_lang")):
-            d = regions.select(normal_code(F.col(label)).alias("lang"), F.col(text).alias("text"), F.col("region_id").alias("k"))
-            parts.append(_smallest(d.where("lang is not null and length(text) between 1 and 4000"), F.col("k"), per_label))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        both = F.array(*[F.struct(F.lit(t).alias("field"), normal_code(F.col(c)).alias("lang"), F.col(t).alias("text")) for t, c in (("source_text", "source_lang"), ("translated_text", "translated_lang"))])
+        r = regions.select(F.col("region_id").alias("k"), F.explode(both).alias("x")).select("k", "x.field", "x.lang", "x.text")
+        parts.append(_smallest(r, ("field", "lang"), per_label, max_chars))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def fit_on(sample: DataFrame) -> Bank:
@@ -450,16 +492,21 @@ def fit_on(sample: DataFrame) -> Bank:
     return fit_rows(rows)
 
 
-def fit_rows(rows: list[tuple[str, str]]) -> Bank:
-    held = [r for k, r in enumerate(rows) if k % 5 == 0]
-    kept = [r for k, r in enumerate(rows) if k % 5]
+_KANA = re.compile("[ぁ-ヺ]")
+
 
+def fit_rows(rows: list[tuple[str, str]]) -> Bank:
     def group(rs: list[tuple[str, str]]) -> dict[str, list[str]]:
         g: dict[str, list[str]] = {}
         for lang, t in rs:
             g.setdefault(lang, []).append(t)
         return g
 
+    # a row that is written in kana to a fourth isn't Chinese, whatever it is labelled
+    rows = [r for r in rows if r[0] != "zh" or 4 * len(_KANA.findall(r[1])) <= len(r[1])]
+    held = [r for k, r in enumerate(rows) if k % 5 == 0]
+    kept = [r for k, r in enumerate(rows) if k % 5]
+
     def agrees(m: Bank, rs: list[tuple[str, str]]) -> list[tuple[str, str]]:
         if not rs:
             return []
@@ -471,27 +518,40 @@ def fit_rows(rows: list[tuple[str, str]]) -> Bank:
     kept = agrees(m, kept)
     m = fit_models(group(kept))
     clean = agrees(m, held)
-    m.margin = calibrate(m, clean)
-    margin = m.margin
+    margin, limits = calibrate(m, clean)
     m = fit_models(group(kept + clean))
-    m.margin = margin
+    m.margin, m.limits = margin, limits
     return m
 
 
-def calibrate(m: Bank, held: list[tuple[str, str]], error: float = 0.002) -> float:
-    """Smallest lead at which at most ``error`` of the held-out stretches with at least that lead get a wrong language, within 3 to 12 nats."""
+def calibrate(m: Bank, held: list[tuple[str, str]], error: float = 0.002, room: float = 1.6, least: int = 20) -> tuple[float, np.ndarray]:
+    """The margin and the limits from held-out texts.
+
+    The margin is the smallest lead at which at most ``error`` of the stretches
+    with at least that lead get a wrong language, within 3 to 12 nats. The
+    limit of a language is ``room`` times the cross-entropy that 99 % of its
+    held-out sentences stay below; with fewer than ``least`` sentences it
+    rejects nothing.
+    """
+    limits = np.full(len(LANGS), np.inf)
     if not held:
-        return 6.0
+        return 6.0, limits
     d = decide(m, [t for _, t in held])
     k = np.flatnonzero(d.lang >= 0)
     truth = np.array([LANGS.index(x) for x, _ in held])[d.text[k]]
     # a stretch in another script than its text's label is no error of the models
     same = np.array([_SCRIPT_OF[x] for x in LANGS])
     k, truth = k[same[truth] == same[d.lang[k]]], truth[same[truth] == same[d.lang[k]]]
+    for i in range(len(LANGS)):
+        h = d.entropy[k[(truth == i) & d.sure[k] & (d.lang[k] == i)]]
+        if len(h) >= least:
+            limits[i] = room * np.quantile(h, 0.99)
+    two = np.isfinite(d.lead[k])  # scripts with a choice
+    k, truth = k[two], truth[two]
     o = np.argsort(-d.lead[k])
     bad = np.cumsum(d.lang[k][o] != truth[o]) / np.arange(1, len(o) + 1)
     ok = np.flatnonzero(bad <= error)
-    return float(min(12.0, max(3.0, d.lead[k][o][ok[-1]]))) if len(ok) else 12.0
+    return (float(min(12.0, max(3.0, d.lead[k][o][ok[-1]]))) if len(ok) else 12.0), limits
 
 
 def models_for(spark: SparkSession, documents: DataFrame | None, regions: DataFrame | None, per_label: int = 400):
@@ -515,7 +575,7 @@ def _long(regions: DataFrame) -> DataFrame:
 
 
 def segment_languages(regions: DataFrame, models) -> DataFrame:
-    """Each single-language stretch of each text: language, confidence and code-point range of the plain form.
+    """Each single-language stretch of each text: language (``und`` for sentences in none of the nine), confidence and code-point range of the plain form.
 
     Null and letterless texts have no row; repeated deliveries count once.
     """
@@ -526,7 +586,7 @@ def segment_languages(regions: DataFrame, models) -> DataFrame:
             ids, fields, texts = (batch.column(c).to_pylist() for c in ("region_id", "field", "text"))
             rows: list[list] = [[], [], [], [], [], []]
             if texts:
-                for i, f, parts in zip(ids, fields, joined_stretches(decide(m, texts), len(texts)), strict=True):
+                for i, f, parts in zip(ids, fields, joined_stretches(m, decide(m, texts), len(texts)), strict=True):
                     for start, end, lang, conf in parts:
                         for col, v in zip(rows, (i, f, start, end, lang, round(conf, 6)), strict=True):
                             col.append(v)
@@ -565,14 +625,15 @@ def _verdicts(regions: DataFrame, models) -> DataFrame:
 def wrong_labels(regions: DataFrame, pages: DataFrame, volumes: DataFrame, models) -> DataFrame:
     """(region_id, field, lang): texts without a right label and texts of several languages, a row per language present.
 
-    Where the models reject a text (a lone name or cry that fits several
-    languages) the language of its volume decides, if it writes in the text's
-    script. Null labels and texts, pages without volume and repeated rows are
-    allowed; null texts have no row.
+    Where the models leave a text unsure (a lone name or cry that fits several
+    languages) the language of its volume is the prior that decides, if it
+    writes in the text's script. A text whose sentences no model accepts is in
+    none of the nine languages and has no row. Null labels and texts, pages
+    without volume and repeated rows are allowed; null texts have no row.
     """
     v = _verdicts(regions, models)
     side = pages.select("page_id", "sub_dir").join(volumes.select("sub_dir", F.col("source_lang").alias("vs"), F.col("target_lang").alias("vt")), "sub_dir").select("page_id", "vs", "vt").dropDuplicates(["page_id"])
-    j = v.join(side, "page_id", "left")
+    j = salted_join(v, side, "page_id", regions, F.col("region_id"))
     ordered = F.when(F.col("field") == "source_text", F.col("vs")).otherwise(F.col("vt"))
     scripts = F.create_map(*[F.lit(x) for kv in _SCRIPT_OF.items() for x in kv])
     fits = scripts[ordered] == scripts[F.element_at("langs", 1)]

@@ -124,7 +124,7 @@ VERDICTS = "region_id long, page_id string, defect string, lang string, cut bool
 
 
 def judge(regions: DataFrame, models, limits: truncation.Limits) -> DataFrame:
-    """(region_id, page_id, defect, lang, cut): what the two texts alone tell of each pair; ``lang`` is set where the whole reply surely is in one language."""
+    """(region_id, page_id, defect, lang, cut): what the two texts alone tell of each pair; ``lang`` is set where the whole reply surely is in one language, or in none of the nine (``und``)."""
     shared = regions.sparkSession.sparkContext.broadcast(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def judge(regions: DataFrame, models, limits: truncation.Limits) -> DataFrame:
                 x = "empty" if not letters[k] else "refusal" if refusal[k] else "copy" if is_copy(p, t, fold) else None
                 defect.append(x)
                 cut.append(x is None and truncation.is_cut(t, p, f, lim, bands))
-            lang = [langid.LANGS[i] if ok else None for i, ok in zip(d.whole[at], known[at], strict=True)]
+            lang = [langid.LANGS[i] if ok else langid.NONE if strange else None for i, ok, strange in zip(d.whole[at], known[at], d.unknown[at], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("region_id"), batch.column("page_id"), pa.array(defect, pa.string()), pa.array(lang, pa.string()), pa.array(cut, pa.bool_())], names=["region_id", "page_id", "defect", "lang", "cut"])
 
     pairs = regions.where(F.col("source_text").rlike(r"\p{L}") & F.col("translated_text").isNotNull())

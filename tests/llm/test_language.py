@@ -43,7 +43,7 @@ def test_mixed_text_has_a_row_per_language(bank):
     text = "We found the lantern behind the school. 港で誰かの声が聞こえる。"
     d = L.decide(bank, [text])
     assert L.languages(d, 0) == ["en", "ja"]
-    parts = L.joined_stretches(d, 1)[0]
+    parts = L.joined_stretches(bank, d, 1)[0]
     assert [p[2] for p in parts] == ["en", "ja"] and parts[0][0] == 0 and parts[-1][1] == len(text)
 
 
@@ -135,3 +135,56 @@ def test_held_out_accuracy_on_the_tables(spark, data):
     d = L.decide(bank, [t for _, t in held])
     right = sum(L.LANGS[w] == lang for w, (lang, _) in zip(d.whole, held, strict=True))
     assert right / len(held) > 0.93  # some labels of the table are wrong
+
+
+@pytest.fixture(scope="module")
+def calibrated(spark):
+    """Models fitted and calibrated on tables with enough held-out sentences in every language."""
+    from inkgrid.session import table
+
+    d = "/root/testdata/sf0.1"
+    return L.fit_on(L.training_sample(table(spark, d, "documents"), table(spark, d, "regions")))
+
+
+FOREIGN = {
+    "Ukrainian": ["Вона знайшла стару мапу в саду вчора ввечері.", "Що ти робиш у моєму будинку посеред ночі?", "Ми їдемо до міста, бо там живе її сестра."],
+    "Italian": ["Ieri sera abbiamo trovato la vecchia mappa nel giardino.", "Perché non mi hai detto la verità quando potevi?", "La ragazza ha perso il suo ombrello vicino alla chiesa."],
+    "Dutch": ["Gisteren hebben we de oude kaart in de tuin gevonden.", "Ik weet niet waarom hij dat gedaan heeft, maar het is te laat.", "Het meisje heeft haar paraplu bij de kerk verloren."],
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_languages_without_a_model_are_rejected(calibrated, name):
+    d = L.decide(calibrated, FOREIGN[name])
+    assert not d.sure.any() and (d.whole == -1).sum() >= 2
+    assert all(L.languages(d, i) == [] for i in range(3) if d.unknown[i])
+    assert all(p[2] == L.NONE for p in L.joined_stretches(calibrated, d, 3)[0])
+
+
+def test_limits_are_calibrated_for_every_language(calibrated):
+    import numpy as np
+
+    assert np.isfinite(calibrated.limits).all() and (calibrated.limits > 1).all() and (calibrated.limits < 13).all()
+    # single-language scripts have models of their own
+    d = L.decide(calibrated, ["Что ты делаешь в саду?", "선장은 낡은 방앗간으로 갔다."])
+    assert [L.LANGS[i] for i in d.whole] == ["ru", "ko"] and (d.entropy[np.isfinite(d.entropy)] > 0).all()
+
+
+def test_cries_are_no_foreign_sentences(calibrated):
+    d = L.decide(calibrated, ["нет нет нет нет нет нет нет", "ああああああああああああ", "TROPF TROPF"])
+    assert not d.foreign.any() and [L.LANGS[i] for i in d.whole[:2]] == ["ru", "ja"]
+
+
+def test_a_bank_is_stored_and_read_again(calibrated, tmp_path):
+    calibrated.save(str(tmp_path / "bank"))
+    b = L.Bank.load(str(tmp_path / "bank"))
+    t = ["We found the lantern behind the school.", "Мы нашли карту."]
+    assert b.margin == calibrated.margin and L.decide(b, t).entropy.tolist() == L.decide(calibrated, t).entropy.tolist()
+
+
+def test_foreign_texts_have_no_row(spark, calibrated):
+    b = spark.sparkContext.broadcast(calibrated)
+    rows = [(1, "p", FOREIGN["Ukrainian"][1], FOREIGN["Italian"][1], None, None), (2, "p", "港で誰かの声が聞こえる。", FOREIGN["Dutch"][1], "ja", "en")]
+    assert L.wrong_labels(frame(spark, rows), *side(spark), b).count() == 0
+    got = {(r["region_id"], r["field"]): r["lang"] for r in L.segment_languages(frame(spark, rows[:1]), b).collect()}
+    assert set(got.values()) == {L.NONE}
