@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,26 +33,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the folder named by ``spark.checkpoint.dir``.
 
-    A folder of this process's own is set only where the session names none
-    (local runs); on a cluster the shared folder of the session is used, so
-    the written blocks outlive any executor.
+    Only a session on a single machine that names none (tests, the bench) gets
+    a folder of this process's own, which is removed when the process ends; on
+    a cluster the shared folder of the session is used, so the written blocks
+    outlive any executor.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
+        if named is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkgrid-checkpoints"))
+        sc.setCheckpointDir(named or scratch("checkpoints"))
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(name: str) -> str:
+    """A temporary folder of this process, for sessions on a single machine; removed when the process ends."""
+    if name not in _SCRATCH:
+        _SCRATCH[name] = tempfile.mkdtemp(prefix=f"inkgrid-{name}-")
+        atexit.register(shutil.rmtree, _SCRATCH[name], ignore_errors=True)
+    return _SCRATCH[name]
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """On a single machine, rows over all cores before work in Python: a small file is one partition there.
+    """Rows dealt over all cores before work in Python, if the input has fewer partitions than there are cores.
 
-    Inputs of a cluster come in many splits; they are left as they are, without
-    a shuffle.
+    A small file is one partition; larger inputs come in many splits and are
+    left as they are, without a shuffle. What is shuffled is thus less than a
+    split a core.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.master.startswith("local["):
-        return df
-    return df.repartition(sc.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,7 +10,6 @@ session's shared folder.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from inkgrid.session import scratch
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints or results, under ``spark.checkpoint.dir`` where that is set."""
+    """A new folder for checkpoints or results, under ``spark.checkpoint.dir`` where that is set; a temporary one on a single machine, removed when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = os.path.join(tempfile.gettempdir(), "inkgrid-streams")
+        root = scratch("streams")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
