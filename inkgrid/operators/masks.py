@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.geometry import Box
-from inkgrid.operators.spatial import Sets, per_island
+from inkgrid.operators.spatial import Sets, by_key
 
 KEY = ("page_id", "region_seq")
 
@@ -178,4 +178,4 @@ def label_runs(runs: DataFrame, step: int = 1) -> DataFrame:
             out.append((page, seq, n, min(rs[i][1] for i in g), min(rs[i][0] for i in g), max(rs[i][2] for i in g), max(rs[i][0] for i in g) + 1, sum(rs[i][2] - rs[i][1] for i in g)))
         return out
 
-    return per_island(joined(runs), label, "page_id string, region_seq int, component int, l int, t int, r int, b int, area int", ("region_seq", "y", "x0", "x1"), by="region_seq")
+    return by_key(joined(runs), "region_seq", label, "page_id string, region_seq int, component int, l int, t int, r int, b int, area int", ("region_seq", "y", "x0", "x1"))

@@ -3,9 +3,12 @@
 Pages are no safe unit of work: one page may hold a tenth of all rows. Pair
 operators therefore join on (page, horizontal band), where a box is listed in
 every band it touches and a pair is reported in the first band both touch.
-Order-dependent operators work on islands: runs of occupied bands with an
-empty band on either side. Boxes of different islands share no scan line, so
-an island can be handled by itself with the same result as the page.
+Groupings work on chunks of a page: links are found within chunks, groups that
+a box on a border belongs to are joined as a graph of chunk groups. The
+reading order is a sweep over chunks, each begun a little early; where a chunk
+and the one before it don't agree on what is open between them, it is swept
+again. No task holds more of a page than a chunk, or than one group of boxes
+that depend on each other.
 
 Input: columns page_id, region_seq, l, t, r, b (and what an operator names).
 Keys that are null match nothing and rows with a null box are left out of
@@ -25,6 +28,8 @@ from inkgrid.functions import geometry as G
 from inkgrid.functions.geometry import Box
 
 BAND = 256  # pixels
+CHUNK = 4096  # pixels of a page that one task sweeps at a time
+LEAD = 2048  # pixels above a chunk where its sweep begins
 KEY = ("page_id", "region_seq")
 
 
@@ -185,56 +190,71 @@ def render_bounds(boxes: DataFrame, size: int = BAND) -> DataFrame:
     )
 
 
-# --- islands -------------------------------------------------------------------------------------
+# --- groups --------------------------------------------------------------------------------------
 
 
-def with_islands(boxes: DataFrame, margin: int = 0, size: int = 64) -> DataFrame:
-    """Rows with a column ``island``: the number of the run of occupied bands on their page.
+def by_key(rows: DataFrame, key: str, fn: Callable[[str, int, list[tuple]], list[tuple]], schema: str, columns: tuple[str, ...]) -> DataFrame:
+    """Apply ``fn(page_id, key, rows)`` to the rows (tuples of ``columns``, by region_seq) of each page and key.
 
-    The window that numbers the runs sees one row per occupied band, not one
-    per box.
+    Rows are shuffled by both and sorted; a task then runs through its groups
+    one after another and holds one at a time.
     """
-    x = boxes.where("page_id is not null and l is not null and t is not null and r is not null and b is not null")
-    x = x.withColumn("_first", F.floor((F.col("t") - margin) / size).cast("long"))
-    occupied = x.select("page_id", F.explode(_bands(F.col("t") - margin, F.col("b") + margin + 1, size)).alias("band")).distinct()
-    w = Window.partitionBy("page_id").orderBy("band")
-    new = F.coalesce((F.col("band") - F.lag("band").over(w) > 1).cast("int"), F.lit(0))
-    runs = occupied.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.join(runs.select("page_id", F.col("band").alias("_first"), "island"), ["page_id", "_first"]).drop("_first")
-
-
-def per_island(boxes: DataFrame, fn: Callable[[str, int, list[tuple]], list[tuple]], schema: str, columns: tuple[str, ...], margin: int = 0, by: str | None = None) -> DataFrame:
-    """Apply ``fn(page_id, island, rows)`` to the rows (tuples of ``columns``, by region_seq) of each island.
-
-    Rows are shuffled by island and sorted; a task then runs through its
-    islands one after another and holds one at a time. ``by`` names another
-    group column to use in place of the island.
-    """
-    x = with_islands(boxes, margin) if by is None else boxes.withColumn("island", F.col(by).cast("long"))
-    x = x.select("page_id", F.col("island").cast("long").alias("island"), *columns)
-    x = x.repartition("page_id", "island").sortWithinPartitions("page_id", "island", "region_seq")
+    x = rows.select("page_id", F.col(key).cast("long").alias("_key"), *columns)
+    x = x.repartition("page_id", "_key").sortWithinPartitions("page_id", "_key", "region_seq")
     to = from_ddl(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        group, held, out = None, [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != key:
-                    if rows:
-                        out.extend(fn(*key, rows))
-                    key, rows = row[:2], []
-                rows.append(row[2:])
+                if row[:2] != group:
+                    if held:
+                        out.extend(fn(*group, held))
+                    group, held = row[:2], []
+                held.append(row[2:])
             if len(out) > 10000:
                 yield _record_batch(out, to)
                 out = []
-        if rows:
-            out.extend(fn(*key, rows))
+        if held:
+            out.extend(fn(*group, held))
         if out:
             yield _record_batch(out, to)
 
     return x.mapInArrow(run, schema)
 
 
+def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach: int = 0, more: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
+    """Rows page_id, region_seq, l, t, r, b, ``more`` and ``grp``: boxes of a page with one number for all that links join, directly or through others.
+
+    ``link(a, b)`` is asked of tuples (region_seq, l, t, r, b, *more) of boxes
+    whose y gap is at most ``reach``. A box is listed in every chunk it
+    reaches; each chunk joins its own boxes; boxes in several chunks then join
+    the groups of those, which takes a graph of the groups at borders only.
+    ``grp >> 24`` is the lowest region_seq of the group.
+    """
+    from inkgrid.session import cut_lineage
+
+    cols = ("region_seq", "l", "t", "r", "b", *more)
+    x = boxes_only(boxes, *more).dropDuplicates(list(KEY))
+    x = x.withColumn("_chunks", _bands(F.col("t") - reach, F.col("b") + reach + 1, size))
+    x = x.withColumn("_at", F.explode("_chunks")).withColumn("_many", F.size("_chunks")).withColumn("_home", F.col("_chunks")[0] == F.col("_at"))
+    kinds = dict(x.dtypes)
+    schema = "page_id string, " + ", ".join(f"{c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in cols) + ", cid long, home boolean, many int, at long"
+
+    def local(page: str, at: int, rows: list[tuple]) -> list[tuple]:
+        sets = Sets(len(rows))
+        for i, j in sweep([x[2] for x in rows], [x[4] for x in rows], reach):
+            if link(rows[i], rows[j]):
+                sets.join(i, j)
+        return [(page, *x[: len(cols)], (rows[sets.find(i)][0] << 24) + (at & 0xFFFFFF), x[-2], x[-1], at) for i, x in enumerate(rows)]
+
+    found = cut_lineage(by_key(x, "_at", local, schema, (*cols, "_home", "_many")))
+    w = Window.partitionBy(*KEY).orderBy("at")  # a row a chunk that a box reaches
+    edges = found.where("many > 1").select("page_id", F.lag("cid").over(w).alias("a"), F.col("cid").alias("b")).where("a is not null").distinct()
+    joined = components(edges).select("page_id", F.col("region_seq").alias("cid"), "component")
+    return found.where("home").join(joined, ["page_id", "cid"], "left").select("page_id", *cols, F.coalesce("component", "cid").alias("grp"))
+
+
 def from_ddl(schema: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (c.strip().split() for c in schema.split(","))])
@@ -281,45 +301,112 @@ class Sets:
         return list(out.values())
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
+def _sweep_rows(open_rows: list[list[int]], boxes: list[tuple]) -> list[tuple[int, int]]:
+    """The row of each box (seq, l, t, r, b), by the top and number of the box that opened it; ``open_rows`` [top, bottom, opener's top, number] is carried on."""
+    out = []
+    for seq, _l, t, _r, b in boxes:
+        open_rows[:] = [x for x in open_rows if x[1] > t]
+        h = max(1, b - t)
+        for x in open_rows:
+            lap = min(b, x[1]) - max(t, x[0])
+            if lap > 0 and 5 * lap >= 2 * min(h, max(1, x[1] - x[0])):
+                x[0], x[1] = min(x[0], t), max(x[1], b)
+                break
+        else:
+            x = [t, b, t, seq]
+            open_rows.append(x)
+        out.append((x[2], x[3]))
+    return out
+
+
+_ROWS = "array<struct<t:int,b:int,ot:int,os:int>>"
+_ROWS_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in ("t", "b", "ot", "os")]))
+_SWEPT = f"page_id string, at long, region_seq int, l int, t int, r int, b int, ot int, os int, before {_ROWS}, after {_ROWS}"
+
+
+def reading_order(boxes: DataFrame, size: int = CHUNK, lead: int = LEAD) -> DataFrame:
     """(page_id, region_seq, rank): rows from the top, within a row from the right.
 
     Boxes come by their top (ties by region_seq); each joins the first row whose
     growing extent it overlaps by at least 0.4 of the lesser height, or opens a
     row. Rows the sweep has passed can't take any more boxes and are dropped
-    from the search.
+    from the search. Each chunk of a page is swept by itself, begun ``lead``
+    pixels above it; the rows it finds open at its top must be those that the
+    chunk before leaves open. Chunks where they aren't are swept again from
+    what was left open, until all agree: the result is that of one sweep.
     """
+    from inkgrid.session import cut_lineage
 
-    def rank(page: str, island: int, rows: list[tuple]) -> list[tuple]:
-        open_rows: list[list[int]] = []  # top, bottom, number
-        placed, n = [], 0
-        for k, (seq, l, t, r, b) in enumerate(sorted(rows, key=lambda x: x[2])):  # noqa: E741
-            open_rows = [x for x in open_rows if x[1] > t]
-            h = max(1, b - t)
-            for x in open_rows:
-                lap = min(b, x[1]) - max(t, x[0])
-                if lap > 0 and 5 * lap >= 2 * min(h, max(1, x[1] - x[0])):
-                    x[0], x[1] = min(x[0], t), max(x[1], b)
-                    break
-            else:
-                x = [t, b, n]
-                open_rows.append(x)
-                n += 1
-            placed.append((x[2], -r, -l, k, seq))
-        return [(page, x[4], island, k) for k, x in enumerate(sorted(placed))]
-
-    local = per_island(boxes_only(boxes).dropDuplicates(list(KEY)), rank, "page_id string, region_seq int, island long, k int", ("region_seq", "l", "t", "r", "b"))
-    # offset of each island: a window over one row per island
-    sizes = local.groupBy("page_id", "island").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("page_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("page_id", "island", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    return local.join(sizes, ["page_id", "island"]).select(*KEY, (F.col("before") + F.col("k") + 1).alias("rank"))
+    x = boxes_only(boxes).dropDuplicates(list(KEY)).withColumn("home", F.floor(F.col("t") / size).cast("long"))
+
+    def swept(rows: DataFrame, begun: DataFrame | None) -> DataFrame:
+        """Boxes with their rows, and for each chunk a line with the rows open before and after it."""
+        if begun is None:
+            wide = rows.withColumn("at", F.explode(F.sequence(F.col("home"), F.floor((F.col("t") + lead) / size).cast("long")))).withColumn("begun", F.lit(None).cast(_ROWS))
+        else:
+            wide = rows.withColumn("at", F.col("home")).join(begun, ["page_id", "at"])
+        wide = wide.select("page_id", "at", "region_seq", "l", "t", "r", "b", "home", "begun").repartition("page_id", "at").sortWithinPartitions("page_id", "at", "t", "region_seq")
+
+        def chunk(page: str, at: int, held: list[tuple], out: list[list]) -> None:
+            early, own = [x for x in held if x[5] < at], [x for x in held if x[5] == at]
+            if not own:
+                return
+            state = [[x[c] for c in ("t", "b", "ot", "os")] for x in held[0][6] or ()]
+            _sweep_rows(state, [x[:5] for x in early])
+            top, end = at * size, (at + 1) * size
+            before = [dict(zip(("t", "b", "ot", "os"), x, strict=True)) for x in state if x[1] > top]
+            for x, row in zip(own, _sweep_rows(state, [x[:5] for x in own]), strict=True):
+                out.append([page, at, *x[:5], *row, None, None])
+            out.append([page, at, *[None] * 7, before, [dict(zip(("t", "b", "ot", "os"), x, strict=True)) for x in state if x[1] > end]])
+
+        types = [pa.string(), pa.int64(), *[pa.int32()] * 7, _ROWS_ARROW, _ROWS_ARROW]
+        names = ["page_id", "at", "region_seq", "l", "t", "r", "b", "ot", "os", "before", "after"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held, out = None, [], []
+            make = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[:2] != key:
+                        if held:
+                            chunk(*key, held, out)
+                        key, held = row[:2], []
+                    held.append(row[2:])
+                if len(out) > 10000:
+                    yield make()
+                    out = []
+            if held:
+                chunk(*key, held, out)
+            if out:
+                yield make()
+
+        return wide.mapInArrow(run, _SWEPT)
+
+    done = cut_lineage(swept(x, None))
+    w = Window.partitionBy("page_id").orderBy("at")  # a line a chunk
+    while True:
+        left = F.filter(F.coalesce(F.lag("after").over(w), F.array().cast(_ROWS)), lambda o: o["b"] > F.col("at") * size)
+        lines = done.where("region_seq is null").select("page_id", "at", "before", left.alias("begun"))
+        wrong = lines.where(F.col("before") != F.col("begun")).select("page_id", "at", "begun")
+        if wrong.isEmpty():
+            break
+        wrong = cut_lineage(wrong)
+        done = cut_lineage(done.join(wrong.select("page_id", "at"), ["page_id", "at"], "left_anti").unionByName(swept(x, wrong)))
+    rows = done.where("region_seq is not null").withColumn("part", F.floor(F.col("ot") / size).cast("long"))
+    sizes = rows.groupBy("page_id", "part").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("page_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = F.row_number().over(Window.partitionBy("page_id", "part").orderBy("ot", "os", F.col("r").desc(), F.col("l").desc(), "t", "region_seq"))
+    return rows.withColumn("k", k).join(sizes.select("page_id", "part", above.alias("above")), ["page_id", "part"]).select(*KEY, (F.col("above") + F.col("k")).alias("rank"))
 
 
 def non_maximum_suppression(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(page_id, region_seq): boxes kept when taken by falling confidence (column ``det``; ties by region_seq), each unless its IoU with a kept one reaches the threshold."""
+    """(page_id, region_seq): boxes kept when taken by falling confidence (column ``det``; ties by region_seq), each unless its IoU with a kept one reaches the threshold.
+
+    A choice depends only on boxes that such overlaps lead to, so each group
+    of them is handled by itself.
+    """
 
-    def keep(page: str, _island: int, rows: list[tuple]) -> list[tuple]:
+    def keep(page: str, _grp: int, rows: list[tuple]) -> list[tuple]:
         near: dict[int, list[int]] = {}
         for i, j in sweep([x[2] for x in rows], [x[4] for x in rows]):
             if _iou(rows[i][1:5], rows[j][1:5]) >= threshold:
@@ -332,7 +419,8 @@ def non_maximum_suppression(boxes: DataFrame, threshold: float = 0.5) -> DataFra
                 gone.update(near.get(i, ()))
         return kept
 
-    return per_island(boxes_only(boxes, "det").dropDuplicates(list(KEY)), keep, "page_id string, region_seq int", ("region_seq", "l", "t", "r", "b", "det"))
+    groups = linked_groups(boxes, lambda a, b: _iou(a[1:5], b[1:5]) >= threshold, more=("det",))
+    return by_key(groups, "grp", keep, "page_id string, region_seq int", ("region_seq", "l", "t", "r", "b", "det"))
 
 
 def _iou(a: tuple, b: tuple) -> float:
@@ -341,40 +429,41 @@ def _iou(a: tuple, b: tuple) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def clusters(boxes: DataFrame, gap_x: int, gap_y: int) -> DataFrame:
-    """(page_id, region_seq, cluster): connected components of boxes whose gaps are at most gap_x and gap_y; a cluster is named by its lowest region_seq."""
+def _within(gap_x: int, gap_y: int) -> Callable[[tuple, tuple], bool]:
+    return lambda a, b: max(a[1], b[1]) - min(a[3], b[3]) <= gap_x and max(a[2], b[2]) - min(a[4], b[4]) <= gap_y
 
-    def label(page: str, _island: int, rows: list[tuple]) -> list[tuple]:
-        sets = Sets(len(rows))
-        for i, j in sweep([x[2] for x in rows], [x[4] for x in rows], gap_y):
-            if max(rows[i][1], rows[j][1]) - min(rows[i][3], rows[j][3]) <= gap_x:
-                sets.join(i, j)
-        return [(page, x[0], rows[sets.find(i)][0]) for i, x in enumerate(rows)]
 
-    return per_island(boxes_only(boxes).dropDuplicates(list(KEY)), label, "page_id string, region_seq int, cluster int", ("region_seq", "l", "t", "r", "b"), margin=gap_y)
+def clusters(boxes: DataFrame, gap_x: int, gap_y: int) -> DataFrame:
+    """(page_id, region_seq, cluster): connected components of boxes whose gaps are at most gap_x and gap_y; a cluster is named by its lowest region_seq."""
+    return linked_groups(boxes, _within(gap_x, gap_y), gap_y).select(*KEY, F.shiftright("grp", 24).cast("int").alias("cluster"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(page_id, region_seq, component) over edges (page_id, a, b): minimum labels along edges and pointer jumps, all as joins.
 
-    For graphs too wide for a group; lineage is cut every round. Ends when no
-    label changes; isolated nodes are their own component.
+    For graphs too wide for a group. Every round takes the least label among
+    the neighbours and then that label's own label, so labels travel twice as
+    far each round; lineage is cut each round, and the rounds end when no label
+    changes. Without ``nodes``, the nodes of the edges; isolated nodes are
+    their own component.
     """
     from inkgrid.session import cut_lineage
 
-    e = edges.select("page_id", F.col("a").alias("x"), F.col("b").alias("y"))
+    e = edges.select("page_id", F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
     e = cut_lineage(e.unionByName(e.select("page_id", F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    lab = cut_lineage(nodes.select("page_id", F.col("region_seq").alias("x"), F.col("region_seq").alias("c")).distinct())
-    for _ in range(rounds):
+    lab = cut_lineage(e.groupBy("page_id", "x").agg(F.least("x", F.min("y")).alias("c")))
+    changed = not lab.isEmpty()
+    while changed:
         least = e.join(lab.select("page_id", F.col("x").alias("y"), F.col("c").alias("cy")), ["page_id", "y"]).groupBy("page_id", "x").agg(F.min("cy").alias("m"))
-        step = lab.join(least, ["page_id", "x"], "left").select("page_id", "x", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        jump = step.join(step.select("page_id", F.col("x").alias("n"), F.col("n").alias("nn")), ["page_id", "n"], "left").select("page_id", "x", "c", F.least("n", F.coalesce("nn", "n")).alias("n"))
+        step = lab.join(least, ["page_id", "x"]).select("page_id", "x", "c", F.least("c", "m").alias("n"))
+        jump = step.join(lab.select("page_id", F.col("x").alias("n"), F.col("c").alias("nn")), ["page_id", "n"]).select("page_id", "x", "c", F.least("n", "nn").alias("n"))
         done = cut_lineage(jump)
-        changed = done.where("n < c").limit(1).count()
+        changed = not done.where("n < c").isEmpty()
         lab = done.select("page_id", "x", F.col("n").alias("c"))
-        if not changed:
-            return lab.select("page_id", F.col("x").alias("region_seq"), F.col("c").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    lab = lab.select("page_id", F.col("x").alias("region_seq"), F.col("c").alias("component"))
+    if nodes is None:
+        return lab
+    return nodes.select(*KEY).distinct().join(lab, list(KEY), "left").select(*KEY, F.coalesce("component", "region_seq").alias("component"))
 
 
 def merge_boxes(members: DataFrame, by: list[str]) -> DataFrame:
@@ -387,25 +476,20 @@ def padded_clusters(boxes: DataFrame, pages: DataFrame, margin: int = 48) -> Dat
 
     Pages without a size clip at 0 only.
     """
+    from inkgrid.session import cut_lineage
+
     size = pages.select("page_id", "width", "height").dropDuplicates(["page_id"])
     x = boxes_only(boxes).dropDuplicates(list(KEY)).join(size, "page_id", "left")
     e = G.expand(Box.of(), margin, F.coalesce("width", F.lit(2**30)), F.coalesce("height", F.lit(2**30)))
     x = x.select(*KEY, e.l.alias("l"), e.t.alias("t"), e.r.alias("r"), e.b.alias("b"))
 
-    def merge(page: str, _island: int, rows: list[tuple]) -> list[tuple]:
-        box = [[*x[1:], 1] for x in rows]
-        while True:
-            sets, hit = Sets(len(box)), False
-            for i, j in sweep([x[1] for x in box], [x[3] for x in box]):
-                a, b = box[i], box[j]
-                if max(a[0], b[0]) < min(a[2], b[2]) and max(a[1], b[1]) < min(a[3], b[3]):
-                    sets.join(i, j)
-                    hit = True
-            if not hit:
-                return [(page, *x) for x in box]
-            box = [[min(box[k][0] for k in g), min(box[k][1] for k in g), max(box[k][2] for k in g), max(box[k][3] for k in g), sum(box[k][4] for k in g)] for g in sets.groups()]
-
-    return per_island(x, merge, "page_id string, l int, t int, r int, b int, members int", ("region_seq", "l", "t", "r", "b"))
+    x = x.withColumn("members", F.lit(1).cast("long"))
+    while True:  # merged boxes may overlap others that their parts didn't
+        groups = cut_lineage(linked_groups(x, lambda a, b: max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4]), more=("members",)))
+        merged = groups.groupBy("page_id", F.shiftright("grp", 24).cast("int").alias("region_seq"), "grp").agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.sum("members").alias("members"), F.count("*").alias("parts"))
+        x = cut_lineage(merged)
+        if x.where("parts > 1").isEmpty():
+            return x.select("page_id", "l", "t", "r", "b", F.col("members").cast("int").alias("members"))
 
 
 def long_strips(boxes: DataFrame, matches: DataFrame, aspect: float = 3.0, cross: float = 0.9, gap_ratio: float = 0.0) -> DataFrame:
@@ -436,7 +520,7 @@ def long_strips(boxes: DataFrame, matches: DataFrame, aspect: float = 3.0, cross
                 sets.join(i, j)
         return [(page, x[0], rows[sets.find(i)][0]) for i, x in enumerate(rows)]
 
-    return per_island(x, label, "page_id string, region_seq int, strip int", ("region_seq", "l", "t", "r", "b"), by="match_seq")
+    return by_key(x, "match_seq", label, "page_id string, region_seq int, strip int", ("region_seq", "l", "t", "r", "b"))
 
 
 def resolve_overlaps(boxes: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -448,17 +532,20 @@ def resolve_overlaps(boxes: DataFrame, threshold: float = 1.0) -> DataFrame:
     Remaining overlaps are cut at midpoints, pair after pair.
     """
 
-    def fix(page: str, _island: int, rows: list[tuple]) -> list[tuple]:
-        box = [list(x[1:5]) for x in rows]
-        det, seq = [x[5] for x in rows], [x[0] for x in rows]
-        size = [max(1, (b[2] - b[0]) * (b[3] - b[1])) for b in box]
+    area = lambda b: max(1, (b[2] - b[0]) * (b[3] - b[1]))
+    lap = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+
+    def covers(a: tuple, b: tuple) -> bool:
+        shared = lap(a[1:5], b[1:5])
+        return shared > 0 and shared / min(area(a[1:5]), area(b[1:5])) >= threshold
+
+    def merged(page: str, _grp: int, rows: list[tuple]) -> list[tuple]:
+        box = [x[1:5] for x in rows]
+        size = [area(b) for b in box]
         shared: dict[int, dict[int, int]] = {}
         for i, j in sweep([b[1] for b in box], [b[3] for b in box]):
-            a, b = box[i], box[j]
-            lap = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-            if lap:
-                shared.setdefault(i, {})[j] = lap
-                shared.setdefault(j, {})[i] = lap
+            if n := lap(box[i], box[j]):
+                shared.setdefault(i, {})[j] = shared.setdefault(j, {})[i] = n
         sets, gone = Sets(len(box)), set()
         for i in range(len(box)):
             for j in sorted(shared.get(i, ())):
@@ -471,13 +558,21 @@ def resolve_overlaps(boxes: DataFrame, threshold: float = 1.0) -> DataFrame:
                     sets.join(i, j)
         out = []
         for g in sets.groups(i for i in range(len(box)) if i not in gone):
-            base = max(g, key=lambda k: (det[k], -k))
-            out.append([seq[base], min(box[k][0] for k in g), min(box[k][1] for k in g), max(box[k][2] for k in g), max(box[k][3] for k in g)])
+            base = max(g, key=lambda k: (rows[k][5], -k))
+            out.append((page, rows[base][0], min(box[k][0] for k in g), min(box[k][1] for k in g), max(box[k][2] for k in g), max(box[k][3] for k in g), rows[g[0]][0]))
+        return out
+
+    def apart(page: str, _grp: int, rows: list[tuple]) -> list[tuple]:
+        out = [list(x[:5]) for x in sorted(rows, key=lambda x: x[5])]
         for i, j in sorted(set(sweep([o[2] for o in out], [o[4] for o in out]))):
             _separate(out[i], out[j])
         return [(page, *o) for o in out]
 
-    return per_island(boxes_only(boxes, "det").dropDuplicates(list(KEY)), fix, "page_id string, region_seq int, l int, t int, r int, b int", ("region_seq", "l", "t", "r", "b", "det"))
+    # what a box does depends on those that cover it or that it covers; then on those that it overlaps
+    groups = linked_groups(boxes, covers, more=("det",))
+    kept = by_key(groups, "grp", merged, "page_id string, region_seq int, l int, t int, r int, b int, first int", ("region_seq", "l", "t", "r", "b", "det"))
+    groups = linked_groups(kept, lambda a, b: lap(a[1:5], b[1:5]) > 0, more=("first",))
+    return by_key(groups, "grp", apart, "page_id string, region_seq int, l int, t int, r int, b int", ("region_seq", "l", "t", "r", "b", "first"))
 
 
 def _separate(p: list[int], q: list[int]) -> None:

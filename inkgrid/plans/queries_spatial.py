@@ -8,7 +8,7 @@ from inkgrid.functions import geometry as G
 from inkgrid.functions.geometry import Box
 from inkgrid.operators import spatial as S
 from inkgrid.plans.base import pages, regions, with_regions
-from inkgrid.session import table
+from inkgrid.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -299,13 +299,19 @@ def g1(s, d):
     return S.non_maximum_suppression(regions(s, d), 0.5)
 
 
-def _components_sql(edges: str) -> str:
+_REACH = (
+    "E2 as (select page_id,x,y from E union all select page_id,y,x from E)",
+    "P as (select page_id,x,y from E2 union select P.page_id,P.x,E2.y from P join E2 on E2.page_id=P.page_id and E2.x=P.y)",
+)
+
+
+def _components_sql(edges: str, name: str = "cluster", nodes: str = "R", *ctes: str) -> str:
     """Smallest number that each region reaches over the edges."""
     return with_regions(
-        "select R.page_id, R.region_seq, least(R.region_seq, coalesce(min(P.y), R.region_seq)) as cluster from R left join P on P.page_id=R.page_id and P.x=R.region_seq group by 1,2",
+        f"select N.page_id, N.region_seq, least(N.region_seq, coalesce(min(P.y), N.region_seq)) as {name} from {nodes} N left join P on P.page_id=N.page_id and P.x=N.region_seq group by 1,2",
+        *ctes,
         f"E as ({edges})",
-        "E2 as (select page_id,x,y from E union all select page_id,y,x from E)",
-        "P as (select page_id,x,y from E2 union select P.page_id,P.x,E2.y from P join E2 on E2.page_id=P.page_id and E2.x=P.y)",
+        *_REACH,
         recursive=True,
     )
 
@@ -332,7 +338,18 @@ def g4(s, d):
     return S.merge_boxes(regions(s, d).withColumn("g", F.floor(F.col("region_seq") / 5).cast("int")), ["page_id", "g"])
 
 
-@query("G5_long_strips")
+def _along(lo: str, hi: str, left: str, right: str) -> str:
+    """Both boxes are three times as long as wide along (lo, hi), nearly cover each other across it, and touch along it."""
+    la, lb, wa, wb = f"(a.{hi}-a.{lo})", f"(b.{hi}-b.{lo})", f"(a.{right}-a.{left})", f"(b.{right}-b.{left})"
+    across = f"greatest(0,least(a.{right},b.{right})-greatest(a.{left},b.{left}))::double/least({wa},{wb})>=0.9"
+    return f"(least({la},{lb},{wa},{wb})>0 and {la}>=3*{wa} and {lb}>=3*{wb} and {across} and greatest(a.{lo},b.{lo})<=least(a.{hi},b.{hi}))"
+
+
+_STRIPS = f"select a.page_id, a.region_seq as x, b.region_seq as y from TM a join TM b on a.page_id=b.page_id and a.match_seq=b.match_seq and a.region_seq<b.region_seq and ({_along('t', 'b', 'l', 'r')} or {_along('l', 'r', 't', 'b')})"
+_TM = "TM as (select T.*, B.match_seq from T join B using (page_id, region_seq) where B.match_seq is not null)"
+
+
+@query("G5_long_strips", _components_sql(_STRIPS, "strip", "TM", _T, _G, _RUNS, _MATCH, _BEST, _TM))
 def g5(s, d):
     return S.long_strips(_texts(s, d), _matches(s, d))
 
@@ -346,20 +363,67 @@ def g9(s, d):
     return S.padded_clusters(regions(s, d), pages(s, d), 8).groupBy("page_id").agg(F.sum("members").cast("long").alias("boxes"))
 
 
-@query("G9_clusters")
+# every box grows to the hull of all that overlap it, until none does: then boxes are equal or apart
+_GROW = """A as (select page_id, region_seq, l, t, r, b, 0 as k from A0
+ union all
+ select page_id, region_seq, l, t, r, b, k from
+  (select a.page_id, a.region_seq, min(b.l) as l, min(b.t) as t, max(b.r) as r, max(b.b) as b, a.k+1 as k, min(b.l)<a.l or min(b.t)<a.t or max(b.r)>a.r or max(b.b)>a.b as grew
+   from A a join A b on a.page_id=b.page_id and (a.region_seq=b.region_seq or (a.l<b.r and b.l<a.r and a.t<b.b and b.t<a.b)) group by a.page_id, a.region_seq, a.l, a.t, a.r, a.b, a.k) q
+  qualify bool_or(grew) over (partition by page_id))"""
+
+
+@query("G9_clusters", with_regions("select A.page_id, l, t, r, b, count(*)::int as members from A join (select page_id, max(k) as k from A group by 1) z on z.page_id=A.page_id and z.k=A.k group by 1,2,3,4,5", _PAD, _GROW, recursive=True))
 def g9c(s, d):
     return S.padded_clusters(regions(s, d), pages(s, d), 8)
 
 
-@query("G10_resolve_overlaps")
+# in order of region_seq a box goes if a larger one that is still there covers 0.35 of it; J has the pairs merged on the way
+_I0 = "(greatest(0,least(a.r,b.r)-greatest(a.l,b.l))::bigint*greatest(0,least(a.b,b.b)-greatest(a.t,b.t)))"
+_COVER = f"V as (select a.page_id, a.region_seq as x, b.region_seq as y, greatest(1,(b.r-b.l)*(b.b-b.t))>greatest(1,(a.r-a.l)*(a.b-a.t)) as larger, {_I0}::double/greatest(1,(b.r-b.l)*(b.b-b.t))>=0.35 as mutual from R a join R b on a.page_id=b.page_id and a.region_seq<>b.region_seq and {_I0}>0 and {_I0}::double/greatest(1,(a.r-a.l)*(a.b-a.t))>=0.35)"
+_GONE = """VX as (select page_id, x, row_number() over (partition by page_id order by x) as k from (select distinct page_id, x from V)),
+D as (select page_id, 0::bigint as k, []::int[] as gone, []::struct(x int, y int)[] as pairs from (select distinct page_id from VX)
+ union all
+ select D.page_id, VX.k, case when q.stop is not null then list_append(D.gone, VX.x) else D.gone end, list_concat(D.pairs, q.got)
+ from D join VX on VX.page_id=D.page_id and VX.k=D.k+1,
+ lateral (select min(case when larger then y end) as stop, coalesce(list({'x': x, 'y': y}) filter (where mutual and not larger), []) as got from V where V.page_id=D.page_id and V.x=VX.x and not list_contains(D.gone, V.y)) q),
+Z as (select page_id, gone, pairs from D qualify row_number() over (partition by page_id order by k desc)=1),
+J as (select page_id, unnest(pairs) as p from Z)"""
+_KEPT = """W as (select R.*, least(R.region_seq, coalesce(u.m, R.region_seq)) as grp from R left join (select page_id, x, min(y) as m from P group by 1,2) u on u.page_id=R.page_id and u.x=R.region_seq
+ where not exists (select 1 from Z where Z.page_id=R.page_id and list_contains(Z.gone, R.region_seq))),
+O as (select page_id, first(region_seq order by det desc, region_seq) as region_seq, min(l) as l, min(t) as t, max(r) as r, max(b) as b, row_number() over (partition by page_id order by min(region_seq)) as i from W group by page_id, grp),
+Q as (select a.page_id, a.i as i, b.i as j, row_number() over (partition by a.page_id order by a.i, b.i) as k from O a join O b on a.page_id=b.page_id and a.i<b.i and a.l<b.r and b.l<a.r and a.t<b.b and b.t<a.b)"""
+
+
+def _cut_sql() -> str:
+    """One pair of boxes p, q cut apart at the middle of their overlap, across its shorter side."""
+    mid = lambda lo, hi: f"((greatest(p.{lo},q.{lo})+least(p.{hi},q.{hi}))//2)"
+
+    def cut(lo: str, hi: str) -> str:
+        one = lambda x, first: f"{{'l': {x}.l, 't': {x}.t, 'r': {x}.r, 'b': {x}.b}}".replace(f"'{hi if first else lo}': {x}.{hi if first else lo}", f"'{hi if first else lo}': {'least' if first else 'greatest'}({x}.{hi if first else lo}, {mid(lo, hi)})")
+        return f"case when p.{lo}+p.{hi}<=q.{lo}+q.{hi} then [{one('p', True)}, {one('q', False)}] else [{one('p', False)}, {one('q', True)}] end"
+
+    wide, tall = "(least(p.r,q.r)-greatest(p.l,q.l))", "(least(p.b,q.b)-greatest(p.t,q.t))"
+    return f"case when {wide}<=0 or {tall}<=0 then [p, q] when {tall}>={wide} then {cut('l', 'r')} else {cut('t', 'b')} end"
+
+
+_APART = f"""Y as (select page_id, 0::bigint as k, list({{'l': l, 't': t, 'r': r, 'b': b}} order by i) as bx from O group by page_id
+ union all
+ select Y.page_id, Q.k, list_transform(Y.bx, lambda x, n: case when n=Q.i then c[1] when n=Q.j then c[2] else x end)
+ from Y join Q on Q.page_id=Y.page_id and Q.k=Y.k+1, lateral (select {_cut_sql()} as c from (select Y.bx[Q.i] as p, Y.bx[Q.j] as q)) z),
+YZ as (select page_id, bx from Y qualify row_number() over (partition by page_id order by k desc)=1)"""
+
+
+@query("G10_resolve_overlaps", with_regions("select O.page_id, O.region_seq, bx[i].l as l, bx[i].t as t, bx[i].r as r, bx[i].b as b from O join YZ using (page_id)", _COVER, _GONE, "E as (select page_id, p.x as x, p.y as y from J)", *_REACH, _KEPT, _APART, recursive=True))
 def g10(s, d):
     return S.resolve_overlaps(regions(s, d), 0.35)
 
 
-@query("G10_no_overlap", "select 0::bigint as overlapping")
+@query("G10_no_overlap", with_regions("select page_id, count(*) as left_over, 0::bigint as overlapping from O group by 1", _COVER, _GONE, "E as (select page_id, p.x as x, p.y as y from J)", *_REACH, _KEPT, recursive=True))
 def g10n(s, d):
-    """Invariant: nothing overlaps afterwards."""
-    return S.overlap_pairs(S.resolve_overlaps(regions(s, d), 0.35)).agg(F.count("*").alias("overlapping"))
+    """Of each page, how many boxes are left and how many pairs of them overlap."""
+    x = cut_lineage(S.resolve_overlaps(regions(s, d), 0.35))
+    laps = S.overlap_pairs(x).groupBy("page_id").agg(F.count("*").alias("n"))
+    return x.groupBy("page_id").agg(F.count("*").alias("left_over")).join(laps, "page_id", "left").select("page_id", "left_over", F.coalesce("n", F.lit(0)).cast("long").alias("overlapping"))
 
 
 @query("G15_median_size", with_regions("select page_id, coalesce(quantile_cont(r-l,0.5) filter (where r-l>=6 and b-t>=6),30.0) as w, coalesce(quantile_cont(b-t,0.5) filter (where r-l>=6 and b-t>=6),30.0) as h from R group by 1"))

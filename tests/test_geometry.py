@@ -123,9 +123,80 @@ def test_nulls_empty_and_repeats(spark):
     assert S.near_pairs(e).count() == S.reading_order(e).count() == S.clusters(e, 1, 1).count() == S.resolve_overlaps(e.fillna(0)).count() == 0
 
 
+def strip(spark, n):
+    """One page with all rows: boxes that overlap each other's scan lines from top to bottom, without a gap."""
+    i = F.col("id")
+    return spark.range(n, numPartitions=8).select(F.lit("strip").alias("page_id"), i.cast("int").alias("region_seq"), (i % 7 * 100).cast("int").alias("l"), (i * 30).cast("int").alias("t"), (i % 7 * 100 + 90).cast("int").alias("r"), (i * 30 + 40).cast("int").alias("b"), (i % 10 / 10).alias("det"))
+
+
 def test_hot_page(spark):
     """A page with most of the rows: the band join makes few pairs."""
     n = 4000
-    df = spark.range(n).select(F.lit("strip").alias("page_id"), F.col("id").cast("int").alias("region_seq"), (F.col("id") % 7 * 100).cast("int").alias("l"), (F.col("id") * 30).cast("int").alias("t"), (F.col("id") % 7 * 100 + 90).cast("int").alias("r"), (F.col("id") * 30 + 40).cast("int").alias("b"))
+    df = strip(spark, n)
     assert S.near_pairs(df, 5).count() == 0
     assert S.reading_order(df).agg(F.max("rank")).first()[0] == n
+
+
+def test_no_task_holds_a_hot_page(spark):
+    """A page of 100,000 boxes in one strip: groups of a chunk's size, and results of all rows."""
+    n = 100_000
+    df = strip(spark, n)
+    held = df.withColumn("_at", F.explode(S._bands(F.col("t"), F.col("b") + 1, S.CHUNK)))
+    sizes = S.by_key(held, "_at", lambda page, _k, rows: [(page, len(rows))], "page_id string, n int", ("region_seq", "t"))
+    got = sizes.agg(F.max("n"), F.count("*"), F.sum("n")).first()
+    assert got[0] <= 200 and got[1] >= n * 30 // S.CHUNK and got[2] >= n
+    order = S.reading_order(df).cache()
+    assert order.count() == n and order.agg(F.countDistinct("rank"), F.max("rank")).first()[:] == (n, n)
+    assert S.clusters(df, 4, 4).where("cluster <> region_seq").count() == 0
+    assert S.non_maximum_suppression(df, 0.3).count() == n
+    assert S.resolve_overlaps(df, 0.35).count() == n
+
+
+def rows_by_one_sweep(boxes):
+    """(seq -> rank) of the reading order, all boxes of a page in one loop."""
+    state, placed = [], []
+    items = sorted(((i, *b) for i, b in enumerate(boxes)), key=lambda x: x[2])
+    for x, row in zip(items, S._sweep_rows(state, items), strict=True):
+        placed.append((row, -x[3], -x[1], x[2], x[0]))
+    return {x[4]: k for k, x in enumerate(sorted(placed), 1)}
+
+
+@pytest.mark.parametrize("seed,size,lead", [(1, 64, 0), (2, 64, 32), (3, 128, 500), (4, 40, 7), (5, 4096, 2048)])
+def test_chunked_order_is_that_of_one_sweep(spark, seed, size, lead):
+    """Chunks much lower than the boxes are tall, so that rows stay open over several of them."""
+    bs = [b for b, _ in boxes(seed, 120, 1200)]
+    got = {r["region_seq"]: r["rank"] for r in S.reading_order(frame(spark, plain(*bs)), size, lead).collect()}
+    assert got == rows_by_one_sweep(bs)
+
+
+@pytest.mark.parametrize("size", [16, 100, 5000])
+def test_groups_over_chunk_borders(spark, size):
+    bs = [b for b, _ in boxes(8, 120, 1500)]
+    link = S._within(3, 3)
+    comp = list(range(len(bs)))
+    for _ in comp:
+        for i, j in itertools.combinations(range(len(bs)), 2):
+            if link((i, *bs[i]), (j, *bs[j])):
+                comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r["region_seq"]: r["grp"] >> 24 for r in S.linked_groups(frame(spark, plain(*bs)), link, 3, size=size).collect()}
+    assert got == dict(enumerate(comp))
+
+
+def test_components_of_a_long_path(spark):
+    n = 300
+    e = spark.range(n).select(F.lit("p").alias("page_id"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = S.components(e).agg(F.max("component"), F.count("*")).first()
+    assert got[:] == (0, n + 1)
+    assert S.components(e.where("false")).count() == 0
+
+
+def test_salted_join_splits_a_hot_key(spark):
+    from inkgrid.operators.skew import hot_keys, salted_join
+
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), F.lit("x").alias("_salt2"))
+    side = rows.where("key is not null").select("key", F.upper("key").alias("up")).distinct()
+    assert [r["key"] for r in hot_keys(rows, "key", 8).collect()] == ["hot"]
+    for how in ("left", "inner"):
+        got = {tuple(r) for r in salted_join(rows, side, "key", rows, F.col("id"), how, 8).select("id", "up").collect()}
+        assert got == {tuple(r) for r in rows.join(side, "key", how).select("id", "up").collect()}
+    assert salted_join(rows.where("false"), side, "key", rows.where("false"), F.col("id")).count() == 0
