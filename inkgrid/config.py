@@ -34,6 +34,10 @@ def share(env: Mapping[str, str], name: str, default: float) -> float:
     return v
 
 
+#: Tables alone, or images beside them; JPEG needs an image library.
+FORMATS = ("parquet", "png", "jpg", "jpeg")
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a run of the pipeline needs; stage names are those of ``plans.pipeline``."""
@@ -41,27 +45,31 @@ class Settings:
     source_language: str
     target_language: str
     output_dir: str
-    detector: str = "stub"
-    recognizer: str = "stub"
+    detector: str = "ink"
+    recognizer: str = "number"
     translator: str = "stub"
     inpainter: str = "none"
     min_quality: float = 0.25
     output_format: str = "parquet"
+    model_url: str = ""
+    model_name: str = ""
 
     @staticmethod
     def load(env: Mapping[str, str] | None = None) -> Settings:
         e = os.environ if env is None else env
         fmt = optional(e, "INKGRID_OUTPUT_FORMAT", "parquet").lower()
-        if fmt not in ("parquet", "jpg", "jpeg"):
-            raise SettingError(f"INKGRID_OUTPUT_FORMAT must be parquet, jpg or jpeg, not {fmt!r}")
+        if fmt not in FORMATS:
+            raise SettingError(f"INKGRID_OUTPUT_FORMAT must be one of {', '.join(FORMATS)}, not {fmt!r}")
         return Settings(
             required(e, "INKGRID_SOURCE_LANGUAGE"),
             required(e, "INKGRID_TARGET_LANGUAGE"),
             required(e, "INKGRID_OUTPUT_DIR"),
-            optional(e, "INKGRID_DETECTOR", "stub"),
-            optional(e, "INKGRID_RECOGNIZER", "stub"),
+            optional(e, "INKGRID_DETECTOR", "ink"),
+            optional(e, "INKGRID_RECOGNIZER", "number"),
             optional(e, "INKGRID_TRANSLATOR", "stub"),
             optional(e, "INKGRID_INPAINTER", "none"),
             share(e, "INKGRID_MIN_QUALITY", 0.25),
             fmt,
+            optional(e, "INKGRID_MODEL_URL", ""),
+            optional(e, "INKGRID_MODEL_NAME", ""),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgrid.functions.text import is_punctuation
+from inkgrid.functions.text import is_punctuation, let
 
 
 def _sum(a: Column) -> Column:
@@ -22,11 +22,6 @@ def deviation(a: Column, m: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
 
 
-def let(value: Column, fn) -> Column:
-    """``fn`` of a value that is computed once: a lambda's argument is bound, a repeated expression is evaluated anew."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def quality(confidence: Column, char_conf: Column, text: Column) -> Column:
     """Quality of a recognised text.
 

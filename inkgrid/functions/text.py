@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkgrid.functions import patterns as P
+
 # Forms of marks in vertical setting.
 VERTICAL_FROM = "「」『』（）【】《》〔〕()[]~～〜―—-ーｰ|｜–…⋯‥⋮"
 VERTICAL_TO = "﹁﹂﹃﹄︵︶︻︼︽︾︹︺︵︶︹︺︱︱︱︱︱︱︱︱︱︱︱︙︙︙︙"
-# Role names a model may echo.
-ROLES = ("user", "assistant", "system")
 #: White space as Python strips it: trim() leaves the wide blank.
 _TRIM = r"^[\s\x{a0}\x{3000}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{85}\x{1c}-\x{1f}]+|[\s\x{a0}\x{3000}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{85}\x{1c}-\x{1f}]+$"
 _LINES = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-_INDEX = r"^\s*\[?\d+\]?[\s.:：、\-—]*"
 
 
 def strip(c: Column) -> Column:
@@ -27,11 +26,11 @@ def lines(c: Column) -> Column:
 
 def tidy_reply(c: Column) -> Column:
     """A reply without leading dots, dashes and tildes; runs of them shortened; no blanks between adjacent ideographs or kana. A reply of nothing else stays as it is."""
-    bare = strip(F.regexp_replace(c, r"^[\s\x{a0}\x{3000}.…⋯︙·\-—~～]+", ""))
-    x = F.regexp_replace(bare, r"[.．]{2,}", "…")
-    x = F.regexp_replace(x, r"[-—―ー]{2,}", "—")
-    x = F.regexp_replace(x, r"[~～]{2,}", "~")
-    x = F.regexp_replace(x, r"(?<=[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}])[ \t\x{3000}]+(?=[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}])", "")
+    bare = strip(F.regexp_replace(c, P.HEAD, ""))
+    x = bare
+    for run, to in P.REPEATED:
+        x = F.regexp_replace(x, run, to)
+    x = F.regexp_replace(x, P.BETWEEN, "")
     return F.when(bare != "", x).otherwise(strip(c))
 
 
@@ -45,30 +44,35 @@ def strip_fence(c: Column) -> Column:
 
 def strip_index(c: Column) -> Column:
     """A line without its leading number."""
-    return strip(F.regexp_replace(c, _INDEX, ""))
+    return strip(F.regexp_replace(c, P.INDEX, ""))
 
 
 def without_roles(arr: Column) -> Column:
     """Non-blank stripped lines that aren't role names."""
-    return F.filter(F.transform(arr, strip), lambda x: (x != "") & ~F.lower(x).isin(*ROLES))
+    return F.filter(F.transform(arr, strip), lambda x: (x != "") & ~F.lower(x).isin(*P.ROLES))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: a lambda's argument is bound, a repeated expression is evaluated anew."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+_SEAM = "\x01"  # between the lines of one reply; no reply holds it
 
 
 def indexed_output(content: Column, n: Column) -> Column:
-    """Texts 1..n of a numbered reply as an array: continuation lines are joined by a blank, the last of a repeated number wins, numbers out of range and lines before the first number are dropped, missing ones are null."""
-    ls = without_roles(lines(content))
-    start = r"^\s*\[?(\d{1,9})\]?[\s.:：、\-—]*(.*)$"
-    zero = F.struct(F.lit(0).alias("i"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("m"))
-
-    def put(a: Column, x: Column) -> Column:
-        num = F.regexp_extract(x, start, 1)
-        is_new = num != ""
-        i = F.when(is_new, num.cast("int")).otherwise(a["i"])
-        rest = F.when(is_new, strip(F.regexp_extract(x, start, 2))).otherwise(strip(F.concat_ws(" ", F.coalesce(F.element_at(a["m"], i), F.lit("")), x)))
-        kept = F.map_filter(a["m"], lambda k, _v: k != i)
-        return F.struct(i.alias("i"), F.when(i > 0, F.map_concat(kept, F.map_from_arrays(F.array(i), F.array(rest)))).otherwise(a["m"]).alias("m"))
-
-    got = F.aggregate(ls, zero, put)["m"]
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at(got, k))).otherwise(F.array().cast("array<string>"))
+    """Texts 1..n of a numbered reply as an array: continuation lines are joined by a blank, the last of a repeated number wins, numbers out of range and lines before the first number are dropped, missing ones are null.
+
+    The lines are cut into pieces where a line begins with a number; each
+    piece is matched once.
+    """
+    whole = F.array_join(without_roles(lines(F.replace(content, F.lit(_SEAM), F.lit("")))), _SEAM)
+    pieces = F.split(whole, _SEAM + r"(?=\[?\d)")
+    start = "(?s)" + P.NUMBERED.replace(r"\d+", r"\d{1,9}")
+    numbered = F.transform(pieces, lambda x: F.struct(F.regexp_extract(x, start, 1).alias("i"), strip(F.replace(F.regexp_extract(x, start, 2), F.lit(_SEAM), F.lit(" "))).alias("text")))
+    pick = lambda got, k: F.try_element_at(F.filter(got, lambda x: x["i"].cast("int") == k), F.lit(-1))["text"]
+    found = let(F.filter(numbered, lambda x: x["i"] != ""), lambda got: F.transform(F.sequence(F.lit(1), n), lambda k: pick(got, k)))
+    return F.when(n > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def numbered_prompt(texts: Column) -> Column:

@@ -437,14 +437,13 @@ def split_by_ink(g: np.ndarray, gap_factor: float = 1.5) -> list[tuple[int, int,
     mw = float(np.median([x for x, _ in big])) if big else 30.0
     mh = float(np.median([y for _, y in big])) if big else 30.0
     gx, gy = max(20.0, gap_factor * mw), max(20.0, gap_factor * mh)
-    from inkgrid.operators.spatial import Sets
+    from inkgrid.operators.spatial import Sets, sweep
 
     s = Sets(len(comp))
-    for i, a in enumerate(comp):
-        for j in range(i):
-            b = comp[j]
-            if max(a[0], b[0]) - min(a[2], b[2]) <= gx and max(a[1], b[1]) - min(a[3], b[3]) <= gy:
-                s.join(i, j)
+    for i, j in sweep([c[1] for c in comp], [c[3] for c in comp], math.floor(gy)):
+        a, b = comp[i], comp[j]
+        if max(a[0], b[0]) - min(a[2], b[2]) <= gx and max(a[1], b[1]) - min(a[3], b[3]) <= gy:
+            s.join(i, j)
     out = [(min(comp[i][0] for i in q), min(comp[i][1] for i in q), max(comp[i][2] for i in q), max(comp[i][3] for i in q)) for q in s.groups()]
     band = max(25.0, 1.5 * mh)
     return sorted(out, key=lambda c: (round((c[1] + c[3]) / 2 / band), -(c[0] + c[2]) / 2))

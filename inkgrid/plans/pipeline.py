@@ -1,6 +1,7 @@
-"""The page pipeline as one plan from recognised regions: candidates, translation and erasing as branches, joined again by page.
+"""The page pipeline: ``run`` from recognised regions, ``translate_images`` from page images to erased images and the places of their text.
 
-``postprocess`` makes regions of detection rows; ``run`` doesn't call it.
+Candidates, translation and erasing are branches of one plan, joined again by
+page. ``postprocess`` makes regions of the rows of two detectors.
 
 Model stages are plug-ins with the shape of ``mapInArrow``; the module has
 deterministic stubs, never a made-up model result.
@@ -13,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.functions import geometry as G
 from inkgrid.functions import scoring
+from inkgrid.functions.geometry import Box
 from inkgrid.operators import spatial
 from inkgrid.session import cut_lineage
 
@@ -62,7 +65,7 @@ def candidates(regions: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 
 #: stage name -> builder of a plug-in; filled by ``register``.
-STAGES: dict[str, dict[str, Callable[..., Callable[[DataFrame], DataFrame]]]] = {"detector": {}, "recognizer": {}, "translator": {}, "inpainter": {}, "renderer": {}, "anchor": {}}
+STAGES: dict[str, dict[str, Callable[..., Callable[[DataFrame], DataFrame]]]] = {"detector": {}, "recognizer": {}, "translator": {}, "inpainter": {}, "eraser": {}}
 
 
 def register(stage: str, name: str):
@@ -82,6 +85,20 @@ def build(stage: str, name: str, **options):
     return STAGES[stage][name](**options)
 
 
+@register("eraser", "none")
+def _keep():
+    """Images stay as they are."""
+    return None
+
+
+@register("eraser", "erase")
+def _erase():
+    """Solid fill on an even ground, diffusion otherwise."""
+    from inkgrid.operators.regions import erased
+
+    return erased
+
+
 @register("inpainter", "none")
 def _identity():
     """Nothing is erased."""
@@ -106,3 +123,39 @@ def run(pages: DataFrame, regions: DataFrame, translator: Callable[[DataFrame],
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = pages.select("page_id", "page_seq", "error").join(join_branches(said, erased), "page_id", "left").join(left, "page_id", "left")
     return out.select("page_id", "page_seq", z("regions"), z("translated"), z("skipped"), "error")
+
+
+def translate_images(pages: DataFrame, detector: Callable[[DataFrame], DataFrame], recognizer: Callable[[DataFrame], DataFrame], translator: Callable[[DataFrame], DataFrame], eraser: Callable[[DataFrame, DataFrame], DataFrame] | None = None, least: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(pages, texts) of page images (page_id, content and what else the pages have).
+
+    Of each page the image with the text of its translated regions erased
+    (``eraser`` makes patches of images and boxes; none leaves them), its size, and an error (stage, kind, message) where the image or one of its
+    regions failed; failed pages keep their original image and have no texts.
+    Of each translated region its text and where it is set (mode, size, items).
+    Regions are written once before the plan branches.
+    """
+    from inkgrid.operators import regions as R
+
+    key = ["page_id", "region_seq"]
+    sized = cut_lineage(R.sizes(pages.dropDuplicates(["page_id"])))
+    bad = sized.where("error is not null").select("page_id", F.struct(F.lit("load").alias("stage"), F.lit("UnreadableImage").alias("kind"), F.col("error").alias("message")).alias("failed"))
+    good = pages.select("page_id", "content").join(sized.where("width is not null").select("page_id", "width", "height"), "page_id")
+    prepared = cut_lineage(R.prepare_regions(good, detector(good)))
+    read = cut_lineage(recognizer(prepared))
+    if "error" in read.columns:
+        bad = bad.unionByName(read.where("error is not null").groupBy("page_id").agg(F.min("error").alias("failed")))
+        read = read.where("error is null")
+    r = prepared.drop("crop").join(read.select(*key, F.col("text").alias("source_text"), "confidence"), key).where("source_text <> ''").join(bad.select("page_id"), "page_id", "left_anti")
+    kept, _skipped = candidates(r.withColumn("character_confidences", F.lit(None).cast("array<double>")), least)
+    kept = cut_lineage(kept)
+    said = translator(kept).select(*key, F.col("translated_text").alias("text"))
+    boxes = kept.select(*key, "l", "t", "r", "b")
+    bounds = spatial.render_bounds(boxes.select("*", *[F.lit(None).cast("int").alias(f"l{c}") for c in "ltrb"]))
+    flat = G.runs_horizontal(Box.of(), F.col("text"), F.lit(False))
+    none = boxes.where("false").select(*key, F.lit(0).alias("y"), F.lit(0).alias("x0"), F.lit(0).alias("x1"))
+    texts = R.places(boxes.join(said, key).withColumn("horizontal", flat), bounds, none)
+    images = R.put_back(good, eraser(good, boxes)) if eraser else good
+    out = pages.drop("content").join(sized.select("page_id", "width", "height"), "page_id", "left").join(bad, "page_id", "left")
+    done = images.select("page_id", F.col("content").alias("new"))
+    out = out.join(pages.select("page_id", "content"), "page_id").join(done, "page_id", "left").withColumn("content", F.when(F.col("failed").isNull(), F.coalesce("new", "content")).otherwise(F.col("content")))
+    return out.drop("new"), texts

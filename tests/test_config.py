@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 
 from inkgrid.__main__ import main
 from inkgrid.config import SettingError, Settings
+from inkgrid.sources.images import encode
 
 ENV = {"INKGRID_SOURCE_LANGUAGE": "ja", "INKGRID_TARGET_LANGUAGE": "en", "INKGRID_OUTPUT_DIR": "out"}
 
@@ -22,6 +24,6 @@ def test_cli(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     assert main(["--dir", str(tmp_path / "in")]) == 1
     assert main(["--file", str(tmp_path / "none.png")]) == 1
-    (tmp_path / "in" / "a.png").write_bytes(b"x")
+    (tmp_path / "in" / "a.png").write_bytes(encode(np.full((9, 9, 3), 255, np.uint8)))
     assert main(["--dir", str(tmp_path / "in")]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).select("name").collect()[0][0] == "a.png"
