@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions import geometry as G
 from inkgrid.functions import scoring
 from inkgrid.functions.geometry import Box
+from inkgrid.functions.text import vertical
 from inkgrid.operators import spatial
 from inkgrid.session import cut_lineage
 
@@ -153,7 +154,8 @@ def translate_images(pages: DataFrame, detector: Callable[[DataFrame], DataFrame
     bounds = spatial.render_bounds(boxes.select("*", *[F.lit(None).cast("int").alias(f"l{c}") for c in "ltrb"]))
     flat = G.runs_horizontal(Box.of(), F.col("text"), F.lit(False))
     none = boxes.where("false").select(*key, F.lit(0).alias("y"), F.lit(0).alias("x0"), F.lit(0).alias("x1"))
-    texts = R.places(boxes.join(said, key).withColumn("horizontal", flat), bounds, none)
+    set_as = F.when(F.col("horizontal"), F.col("text")).otherwise(vertical(F.col("text")))
+    texts = R.places(boxes.join(said, key).withColumn("horizontal", flat).withColumn("text", set_as), bounds, none)
     images = R.put_back(good, eraser(good, boxes)) if eraser else good
     out = pages.drop("content").join(sized.select("page_id", "width", "height"), "page_id", "left").join(bad, "page_id", "left")
     done = images.select("page_id", F.col("content").alias("new"))

@@ -8,7 +8,7 @@ from inkgrid.operators import translate as X
 from inkgrid.plans import pipeline
 from inkgrid.plans.base import regions, with_regions
 from inkgrid.plans.queries_text import _Q, _tidy
-from inkgrid.session import table
+from inkgrid.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,15 +24,99 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("S1_list_pages", "select name, row_number() over (order by lower(name), name) as page_seq from (values ('customer.parquet'),('documents.parquet'),('embeddings.parquet'),('events.parquet'),('lineitem.parquet'),('mask_runs.parquet'),('mix_targets.parquet'),('nation.parquet'),('orders.parquet'),('pages.parquet'),('part.parquet'),('region.parquet'),('regions.parquet'),('supplier.parquet'),('translations.parquet'),('volumes.parquet')) t(name)")
-def s1(s, d):
-    """The files of a folder, in order of their lower-cased names (here the tables' own)."""
+_DRAWN = {"a.png": (60, 40, []), "B.png": (200, 200, [(10, 10, 24, 24), (140, 140, 154, 154)]), "c.png": (200, 300, [(x, y, x + 15, y + 15) for x in (10, 28) for y in (10, 100, 200)]), "Vol/1.png": (300, 300, [(200, 10, 280, 50), (10, 150, 90, 190)]), "Vol/2.png": (200, 200, [(10, 10, 24, 24), (40, 10, 54, 24)])}
+
+
+def drawn(s):
+    """A folder of page images with black rectangles, some of them in an archive, in the session's shared folder; as ``load_pages`` reads it."""
     import os
 
-    from inkgrid.sources.files import number_by_name
+    import numpy as np
+
+    from inkgrid.sources import archives, images
+    from inkgrid.streaming.runs import folder
+
+    path = folder(s, "pages").removeprefix("file:")
+    os.makedirs(path, exist_ok=True)
+    inner = {}
+    for name, (w, h, rects) in _DRAWN.items():
+        rgb = np.full((h, w, 3), 255, np.uint8)
+        for l, t, r, b in rects:  # noqa: E741
+            rgb[t : b + 1, l : r + 1] = 0
+        if "/" in name:
+            inner[name.partition("/")[2]] = images.encode(rgb)
+        else:
+            with open(f"{path}/{name}", "wb") as f:
+                f.write(images.encode(rgb))
+    with open(f"{path}/Vol.zip", "wb") as f:
+        f.write(archives.build_archive(inner | {"__MACOSX/3.png": b"x", "notes.txt": b"x"}))
+    with open(f"{path}/readme.txt", "w") as f:
+        f.write("no page")
+    return archives.load_pages(s, path).withColumn("page_id", F.col("name"))
+
+
+@query("S1_list_pages", "select * from (values ('a.png',1,''),('B.png',2,''),('c.png',3,''),('Vol/1.png',4,'Vol'),('Vol/2.png',5,'Vol')) t(name, page_seq, sub_dir)")
+def s1(s, d):
+    """Page images of a folder and of the archives in it, in order of their lower-cased names."""
+    return drawn(s).select("name", F.col("page_seq").cast("int").alias("page_seq"), "sub_dir")
+
+
+@query("I6_prepare_regions", "select * from (values ('B.png',2),('c.png',3),('Vol/1.png',2),('Vol/2.png',1)) t(page_id, regions)")
+def i6(s, d):
+    """Pages split by their ink, overlaps resolved, empty ones dropped, cropped."""
+    from inkgrid.operators import regions as R
+
+    p = cut_lineage(drawn(s).select("page_id", "content"))
+    boxes = pipeline.build("detector", "ink")(R.sizes(p))
+    return R.prepare_regions(p, boxes).groupBy("page_id").agg(F.count("*").cast("int").alias("regions"))
+
+
+@query("C3_translate_images", "select * from (values ('a.png',60,40,0,false),('B.png',200,200,2,false),('c.png',200,300,3,false),('Vol/1.png',300,300,2,false),('Vol/2.png',200,200,1,false)) t(page_id, width, height, texts, dark)")
+def c3(s, d):
+    """From page images to erased images and placed texts: detection, recognition, translation, erasing, layout."""
+    from inkgrid.operators import regions as R
+    from inkgrid.sources.images import decode
+
+    done, texts = pipeline.translate_images(drawn(s), *(pipeline.build(*x) for x in (("detector", "ink"), ("recognizer", "number"), ("translator", "stub"), ("eraser", "erase"))))
+    n = texts.where("mode <> 'none'").groupBy("page_id").agg(F.count("*").cast("int").alias("texts"))
+
+    def darkest(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([bool(decode(c).min() < 128) for c in b.column("content").to_pylist()])], names=["page_id", "dark"])
+
+    dark = done.select("page_id", "content").mapInArrow(darkest, "page_id string, dark boolean")
+    return done.select("page_id", "width", "height").join(n, "page_id", "left").join(dark, "page_id").select("page_id", "width", "height", F.coalesce("texts", F.lit(0)).alias("texts"), "dark")
+
+
+@query("M2_polygon_fill", with_regions("select page_id, region_seq, min(y)::int as first, count(*)::int as runs, sum(x1-x0)::bigint as px from (select page_id, region_seq, l, t, r, b, y, ceil(cx-hw-0.5)::int as x0, ceil(cx+hw-0.5)::int as x1 from (select page_id, region_seq, l, t, r, b, y, (l+r)/2.0 as cx, (r-l)/2.0*(1-abs(y+0.5-(t+b)/2.0)/((b-t)/2.0)) as hw from R, lateral (select unnest(range(t, b)) as y) u where r>l and b>t) q) z where x0<x1 group by 1,2"))
+def m2(s, d):
+    """Each box's inscribed diamond, filled: its first line, runs and pixels."""
+    from inkgrid.operators import regions as R
+
+    x = regions(s, d).where("r > l and b > t")
+    pt = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    cx, cy = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
+    poly = x.select("page_id", "region_seq", F.array(pt(cx, F.col("t")), pt(F.col("r"), cy), pt(cx, F.col("b")), pt(F.col("l"), cy)).alias("points"))
+    return R.polygon_runs(poly).groupBy("page_id", "region_seq").agg(F.min("y").alias("first"), F.count("*").cast("int").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("px"))
+
+
+@query("L12_places")
+def l12(s, d):
+    """Where each translation is set: the mode chosen, the size and the places of its lines or columns."""
+    from inkgrid.functions import geometry as G
+    from inkgrid.functions.geometry import Box
+    from inkgrid.functions.text import vertical
+    from inkgrid.operators import regions as R
+    from inkgrid.operators import spatial
 
-    files = s.createDataFrame([(n, i) for i, n in enumerate(sorted(os.listdir(d)))], "name string, seq long")
-    return number_by_name(files).select("name", "page_seq")
+    x = cut_lineage(regions(s, d, "layout_bbox", "translated_text").where("translated_text <> ''"))
+    bounds = spatial.render_bounds(x.select("page_id", "region_seq", "l", "t", "r", "b", *[F.col(f"layout_bbox.{c}").alias(f"l{c}") for c in "ltrb"]))
+    m = table(s, d, "mask_runs").where("kind = 'layout'").select("page_id", "region_seq", "y", "x0", "x1").distinct()
+    texts = x.withColumn("horizontal", G.runs_horizontal(Box.of(), F.col("translated_text"), F.lit(False)))
+    texts = texts.withColumn("text", F.when(F.col("horizontal"), F.col("translated_text")).otherwise(vertical(F.col("translated_text"))))
+    return R.places(texts, bounds, m).select("page_id", "region_seq", "mode", "size", F.size("items").alias("n"), F.round(F.try_element_at("items", F.lit(1))["x"], 3).alias("x"), F.round(F.try_element_at("items", F.lit(1))["y"], 3).alias("y"))
 
 
 @query("S5_image_paths", "select page_id, name, row_number() over (order by lower(name), page_seq) as n from pages where lower(regexp_extract(name,'[^/]+(\\.[^./]+)$',1)) in ('.png','.jpg','.jpeg','.webp') and member is null")

@@ -46,7 +46,16 @@ def t14(s, d):
     return L.sentence_lists(said(s, d)).select("page_id", "region_seq", F.posexplode("sentences").alias("i", "sentence"))
 
 
-@query("T15_wrap_text")
+# character by character: a line is full when the next one would pass the box's width
+_WRAP = """C as (select page_id, region_seq, translated_text as t, r-l as w from R where translated_text is not null),
+F as (select page_id, region_seq, t, w, 0::bigint as i, 0::bigint as a, 0::bigint as n, '' as line, []::varchar[] as lines from C
+ union all
+ select page_id, region_seq, t, w, i+1, case when c=chr(10) then 0 when full_ then (ascii(c)<128)::bigint else a+(ascii(c)<128)::bigint end, case when c=chr(10) then 0 when full_ then 1 else n+1 end,
+  case when c=chr(10) then '' when full_ then c else line||c end, case when c=chr(10) or full_ then list_append(lines, line) else lines end
+ from (select F.*, substr(t, i+1, 1) as c, n>0 and 16.0::double*(0.55::double*(a+(ascii(substr(t, i+1, 1))<128)::bigint)+(n+1-a-(ascii(substr(t, i+1, 1))<128)::bigint))>w as full_ from F where i<length(t)) q)"""
+
+
+@query("T15_wrap_text", with_regions("select page_id, region_seq, list_append(lines, line) as lines from F where i=length(t)", _WRAP, recursive=True))
 def t15(s, d):
     return L.wrapped(said(s, d).select("page_id", "region_seq", "translated_text", "l", "r"), 16.0)
 
@@ -67,13 +76,14 @@ def l1v(s, d):
     return L.layouts(said(s, d), True)
 
 
-@query("L4_kinsoku", "select 0::bigint as broken")
+@query("L4_kinsoku", with_regions(f"select page_id, region_seq, nullif({_SQUEEZE},'') as text, 0::bigint as broken from R where translated_text is not null"))
 def l4(s, d):
-    """Invariant: no Latin word of up to the line's length is cut: a line that ends within a word begins with that word."""
-    x = L.layouts(said(s, d), False).where("score > -50000")
-    pairs = x.select(F.explode(F.transform(F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.element_at("lines", i).alias("a"), F.element_at("lines", i + 1).alias("b")))).alias("p"))
-    cut = F.col("p.a").rlike(r"[^A-Za-z0-9'\-_][A-Za-z0-9'\-_]+$") & F.col("p.b").rlike(r"^[A-Za-z0-9'\-_]")
-    return pairs.agg(F.coalesce(F.sum(cut.cast("long")), F.lit(0)).alias("broken"))
+    """Of each text, what its lines hold (all but the blanks, in order) and how many Latin words of up to the line's length they cut: none."""
+    x = L.layouts(said(s, d), False)
+    pairs = F.transform(F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.element_at("lines", i).alias("a"), F.element_at("lines", i + 1).alias("b")))
+    cut = F.size(F.filter(pairs, lambda p: p["a"].rlike(r"[^A-Za-z0-9'\-_][A-Za-z0-9'\-_]+$") & p["b"].rlike(r"^[A-Za-z0-9'\-_]")))
+    held = F.regexp_replace(F.array_join("lines", ""), r"[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}]+", "")
+    return x.select("page_id", "region_seq", held.alias("text"), F.when(F.col("score") > -50000, cut).otherwise(0).cast("long").alias("broken"))
 
 
 # lines of a text as its words, at a size of 12 to 23, for the scores as expressions
