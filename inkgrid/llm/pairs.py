@@ -24,27 +24,99 @@ from inkgrid.operators.skew import salted_join
 
 _LETTER = re.compile(r"[^\W\d_]")
 
-# Phrases with which an assistant declines. A phrase names the
-# task (a request, a text, its translation); 'I'm sorry, I can't help you
-# carry the lamp' is a character's own apology and matches none.
-REFUSALS = {
-    "en": [
-        r"(can't|cannot|can not|unable to|not able to|won't|must decline to|have to decline to|not possible for me to|not comfortable)[^.!?]{0,40}(translat|render this|this (request|content|line|text|passage|message)|that (request|text|content)|assist with|fulfil)",
-        r"(goes|is) against my (guidelines|policy|policies|programming)",
-        r"as an? (ai|automated assistant|language model|assistant)\b",
-    ],
-    "de": [r"(kann|darf|muss|konnte|möchte)[^.!?]{0,60}(übersetz|anfrage|ablehnen|diesem inhalt)", r"als (sprachassistent|ki|sprachmodell|assistent)", r"gegen meine richtlinien"],
-    "fr": [r"(ne peux pas|ne suis pas en mesure|dois refuser|ne m'est pas possible|suis dans l'impossibilité)[^.!?]{0,60}(tradui|traduction|demande|ce contenu|ce texte)", r"en tant qu'(assistant|ia|modèle)", r"contraire à mes (règles|directives)"],
-    "es": [r"(no puedo|no me es posible|debo rechazar|debo rehusar|tengo que rechazar|no soy capaz)[^.!?]{0,60}(traduc|solicitud|este texto|este contenido|petición)", r"como (asistente|ia|modelo)\b", r"contra mis (normas|directrices|reglas)"],
-    "ru": [r"(не могу|не в состоянии|вынужден[а]?|не имею возможности)[^.!?]{0,60}(перев|запрос|этот текст|этим содерж|отказ)", r"как (помощник|ассистент|ии|языковая модель)\b", r"нарушает мои правила"],
-    "ja": [r"(翻訳|ご依頼|リクエスト|この文章)[^。]{0,20}(できません|できかねます|控えさせて|お応えできません|お断り|いたしかねます)", r"アシスタントとして", r"(AI|言語モデル)として"],
-    "zh": [r"(无法|不能|不便|必须拒绝|拒绝)[^。]{0,16}(翻译|译文|请求|这段文字|此内容|协助)", r"作为(助手|人工智能|AI|一个AI|语言模型)"],
-    "ko": [r"(번역|요청|문장|내용)[^.]{0,24}(수 없습니다|할 수 없|드릴 수 없|어렵습니다|거절)", r"(AI|인공지능|어시스턴트|도우미)(로서|로써)"],
-    "th": [r"(ไม่สามารถ|ขอปฏิเสธ|ไม่อาจ)[^.]{0,40}(แปล|คำขอ|ข้อความนี้|เนื้อหา)", r"ในฐานะ(ผู้ช่วย|ปัญญาประดิษฐ์|โมเดล)"],
+# Refusal dictionaries. A refusal declines a task (a request, a text, its
+# translation) within a sentence, or speaks of itself as an assistant; 'I'm sorry, I can't
+# help you carry the lamp' is a character's own apology and names no task.
+REFUSALS: dict[str, dict] = {
+    "en": {
+        "decline": ["can't", "cannot", "can not", "unable to", "not able to", "won't", "must decline to", "have to decline to", "not possible for me to", "not comfortable"],
+        "task": ["translat", "render this", "this request", "this content", "this line", "this text", "this passage", "this message", "that request", "that text", "that content", "assist with", "fulfil"],
+        "self": ["goes against my guidelines", "is against my guidelines", "goes against my polic", "is against my polic", "goes against my programming", "is against my programming", "as an ai", "as an automated assistant", "as a language model", "as an assistant"],
+        "stops": ".!?", "gap": 40,
+    },
+    "de": {
+        "decline": ["kann", "darf", "muss", "konnte", "möchte"],
+        "task": ["übersetz", "anfrage", "ablehnen", "diesem inhalt"],
+        "self": ["als sprachassistent", "als ki", "als sprachmodell", "als assistent", "gegen meine richtlinien"],
+        "stops": ".!?", "gap": 60,
+    },
+    "fr": {
+        "decline": ["ne peux pas", "ne suis pas en mesure", "dois refuser", "ne m'est pas possible", "suis dans l'impossibilité"],
+        "task": ["tradui", "traduction", "demande", "ce contenu", "ce texte"],
+        "self": ["en tant qu'assistant", "en tant qu'ia", "en tant que modèle", "contraire à mes règles", "contraire à mes directives"],
+        "stops": ".!?", "gap": 60,
+    },
+    "es": {
+        "decline": ["no puedo", "no me es posible", "debo rechazar", "debo rehusar", "tengo que rechazar", "no soy capaz"],
+        "task": ["traduc", "solicitud", "este texto", "este contenido", "petición"],
+        "self": ["como asistente", "como ia", "como modelo", "contra mis normas", "contra mis directrices", "contra mis reglas"],
+        "stops": ".!?", "gap": 60,
+    },
+    "ru": {
+        "decline": ["не могу", "не в состоянии", "вынужден", "не имею возможности"],
+        "task": ["перев", "запрос", "этот текст", "этим содерж", "отказ"],
+        "self": ["как помощник", "как ассистент", "как ии", "как языковая модель", "нарушает мои правила"],
+        "stops": ".!?", "gap": 60,
+    },
+    "ja": {
+        "task": ["翻訳", "ご依頼", "リクエスト", "この文章"],
+        "decline": ["できません", "できかねます", "控えさせて", "お応えできません", "お断り", "いたしかねます"],
+        "self": ["アシスタントとして", "aiとして", "言語モデルとして"],
+        "stops": "。", "gap": 20, "task_first": True,
+    },
+    "zh": {
+        "decline": ["无法", "不能", "不便", "必须拒绝", "拒绝"],
+        "task": ["翻译", "译文", "请求", "这段文字", "此内容", "协助"],
+        "self": ["作为助手", "作为人工智能", "作为ai", "作为一个ai", "作为语言模型"],
+        "stops": "。", "gap": 16,
+    },
+    "ko": {
+        "task": ["번역", "요청", "문장", "내용"],
+        "decline": ["수 없습니다", "할 수 없", "드릴 수 없", "어렵습니다", "거절"],
+        "self": ["ai로서", "인공지능으로서", "어시스턴트로서", "도우미로서"],
+        "stops": ".", "gap": 24, "task_first": True,
+    },
+    "th": {
+        "decline": ["ไม่สามารถ", "ขอปฏิเสธ", "ไม่อาจ"],
+        "task": ["แปล", "คำขอ", "ข้อความนี้", "เนื้อหา"],
+        "self": ["ในฐานะผู้ช่วย", "ในฐานะปัญญาประดิษฐ์", "ในฐานะโมเดล"],
+        "stops": ".", "gap": 40,
+    },
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.IGNORECASE)
+
+
+def _pattern(x: dict) -> str:
+    any_of = lambda words: "(?:" + "|".join(map(re.escape, words)) + ")"
+    first, second = ("task", "decline") if x.get("task_first") else ("decline", "task")
+    # 'as an ai' isn't the head of 'as an aim'; scripts without blanks have no such end
+    end = r"(?![a-zа-яé]{0,1}\w)" if x["stops"] == ".!?" else ""
+    return f"{any_of(x[first])}[^{re.escape(x['stops'])}]{{0,{x['gap']}}}{any_of(x[second])}|{any_of(w for w in x['self'] if w.endswith('polic'))}|{any_of(w for w in x['self'] if not w.endswith('polic'))}{end}".replace("|(?:)|", "|")
+
+
+_REFUSAL = re.compile("|".join(f"(?:{_pattern(x)})" for x in REFUSALS.values()))
+#: Every refusal has one of these, by the way the pattern is made.
+_NAMED = tuple(dict.fromkeys(w for x in REFUSALS.values() for w in [*x["task"], *x["self"]]))
+
+
+def _finder():
+    """Whether a text has one of the words, by one pass of an automaton of them all."""
+    try:
+        import ahocorasick
+    except ImportError:  # the same, more slowly
+        return lambda low: any(w in low for w in _NAMED)
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in _NAMED:
+        a.add_word(w)
+    a.make_automaton()
+    return lambda low: next(a.iter(low), None) is not None
+
+
+_names = _finder()
+
+
 def is_refusal(reply: str) -> bool:
-    return _REFUSAL.search(reply.replace("’", "'")) is not None
+    low = reply.casefold().replace("’", "'")
+    return _names(low) and _REFUSAL.search(low) is not None
 
 
 # --- copies ----------------------------------------------------------------------------------
@@ -60,14 +132,17 @@ class Folder:
     def __init__(self) -> None:
         src, dst, many = lookalike.mapping()
         self.table = dict(zip(map(ord, src), dst, strict=True)) | {ord(c): None for c in lookalike.INVISIBLE} | {ord(k): v for k, v in many}
+        self.odd = set(map(chr, self.table))
 
     def __call__(self, text: str) -> str:
         import unicodedata
 
         t = text
         if not t.isascii():
-            t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).translate(self.table))
-            t = t.translate(self.table)
+            t = unicodedata.normalize("NFC", t)
+            for _ in range(2):  # composing what was mapped may make a letter that is mapped too
+                if not self.odd.isdisjoint(t):
+                    t = unicodedata.normalize("NFC", t.translate(self.table))
         t = _QUOTED.sub("", t)
         t = _QUOTED.sub("", _INDEX.sub("", t, count=1))
         return _BLANKS.sub("", t)
