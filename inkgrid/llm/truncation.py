@@ -128,14 +128,24 @@ def length_profile(regions: DataFrame) -> DataFrame:
     return both.groupBy("source", "ends", "measure", "size").agg(F.count("*").alias("n"))
 
 
-def field_limits(regions: DataFrame, least: int = 5, factor: float = 8.0, width: int = 12) -> DataFrame:
-    """(source, measure, ends, size): lengths with at least ``least`` different texts and ``factor`` times the mean of the ``width`` lengths on either side."""
+def field_limits(regions: DataFrame, factor: float = 8.0, alpha: float = 1e-4, width: int = 12) -> DataFrame:
+    """(source, measure, ends, size): lengths at which different texts pile up.
+
+    A length is a limit if it has ``factor`` times the mean of the ``width``
+    lengths on either side, and if chance makes that unlikely: the Chernoff
+    bound of the Poisson tail, times the number of lengths tested for the feed,
+    is below ``alpha``. Both scale with the feed: a small one needs few texts
+    at a length where it else has none, a large one needs no more than its rate.
+    """
     from pyspark.sql import Window as W
 
     p = length_profile(regions)
-    w = W.partitionBy("source", "ends", "measure").orderBy("size").rangeBetween(-width, width)
+    all_lengths = W.partitionBy("source", "ends", "measure")
+    w = all_lengths.orderBy("size").rangeBetween(-width, width)
     around = (F.sum("n").over(w) - F.col("n")) / F.lit(2.0 * width)
-    return p.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= factor * F.col("around"))).select("source", "measure", "ends", "size")
+    x = p.withColumn("mean", F.greatest(around, F.lit(0.5 / width))).withColumn("tests", F.count("*").over(all_lengths))
+    log_p = F.col("n") - F.col("mean") - F.col("n") * F.log(F.col("n") / F.col("mean"))
+    return x.where((F.col("n") >= factor * F.col("mean")) & (log_p + F.log("tests") < F.log(F.lit(alpha)))).select("source", "measure", "ends", "size")
 
 
 def limits_of(regions: DataFrame) -> Limits:
