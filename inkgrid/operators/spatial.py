@@ -223,14 +223,15 @@ def by_key(rows: DataFrame, key: str, fn: Callable[[str, int, list[tuple]], list
     return x.mapInArrow(run, schema)
 
 
-def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach: int = 0, more: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
+def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach: int = 0, more: tuple[str, ...] = (), size: int = CHUNK, grow: bool = False) -> DataFrame:
     """Rows page_id, region_seq, l, t, r, b, ``more`` and ``grp``: boxes of a page with one number for all that links join, directly or through others.
 
     ``link(a, b)`` is asked of tuples (region_seq, l, t, r, b, *more) of boxes
     whose y gap is at most ``reach``. A box is listed in every chunk it
     reaches; each chunk joins its own boxes; boxes in several chunks then join
     the groups of those, which takes a graph of the groups at borders only.
-    ``grp >> 24`` is the lowest region_seq of the group.
+    ``grp >> 24`` is the lowest region_seq of the group. With ``grow``, groups
+    of a chunk whose hulls overlap are joined too, until none do.
     """
     from inkgrid.session import cut_lineage
 
@@ -246,6 +247,14 @@ def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach:
         for i, j in sweep([x[2] for x in rows], [x[4] for x in rows], reach):
             if link(rows[i], rows[j]):
                 sets.join(i, j)
+        while grow:
+            groups = sets.groups()
+            hulls = [[min(rows[k][1] for k in g), min(rows[k][2] for k in g), max(rows[k][3] for k in g), max(rows[k][4] for k in g)] for g in groups]
+            met = [(i, j) for i, j in sweep([h[1] for h in hulls], [h[3] for h in hulls]) if max(hulls[i][0], hulls[j][0]) < min(hulls[i][2], hulls[j][2]) and max(hulls[i][1], hulls[j][1]) < min(hulls[i][3], hulls[j][3])]
+            for i, j in met:
+                sets.join(groups[i][0], groups[j][0])
+            if not met:
+                break
         return [(page, *x[: len(cols)], (rows[sets.find(i)][0] << 24) + (at & 0xFFFFFF), x[-2], x[-1], at) for i, x in enumerate(rows)]
 
     found = cut_lineage(by_key(x, "_at", local, schema, (*cols, "_home", "_many")))
@@ -485,7 +494,7 @@ def padded_clusters(boxes: DataFrame, pages: DataFrame, margin: int = 48) -> Dat
 
     x = x.withColumn("members", F.lit(1).cast("long"))
     while True:  # merged boxes may overlap others that their parts didn't
-        groups = cut_lineage(linked_groups(x, lambda a, b: max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4]), more=("members",)))
+        groups = cut_lineage(linked_groups(x, lambda a, b: max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4]), more=("members",), grow=True))
         merged = groups.groupBy("page_id", F.shiftright("grp", 24).cast("int").alias("region_seq"), "grp").agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.sum("members").alias("members"), F.count("*").alias("parts"))
         x = cut_lineage(merged)
         if x.where("parts > 1").isEmpty():
