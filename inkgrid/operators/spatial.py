@@ -18,6 +18,7 @@ pair operators. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -240,7 +241,7 @@ def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach:
     x = x.withColumn("_chunks", _bands(F.col("t") - reach, F.col("b") + reach + 1, size))
     x = x.withColumn("_at", F.explode("_chunks")).withColumn("_many", F.size("_chunks")).withColumn("_home", F.col("_chunks")[0] == F.col("_at"))
     kinds = dict(x.dtypes)
-    schema = "page_id string, " + ", ".join(f"{c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in cols) + ", cid long, home boolean, many int, at long"
+    schema = "page_id string, " + ", ".join(f"{c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in cols) + ", cid long, home boolean, many int, at long, alone boolean"
 
     def local(page: str, at: int, rows: list[tuple]) -> list[tuple]:
         sets = Sets(len(rows))
@@ -255,11 +256,13 @@ def linked_groups(boxes: DataFrame, link: Callable[[tuple, tuple], bool], reach:
                 sets.join(groups[i][0], groups[j][0])
             if not met:
                 break
-        return [(page, *x[: len(cols)], (rows[sets.find(i)][0] << 24) + (at & 0xFFFFFF), x[-2], x[-1], at) for i, x in enumerate(rows)]
+        held = Counter(sets.find(i) for i in range(len(rows)))
+        return [(page, *x[: len(cols)], (rows[sets.find(i)][0] << 24) + (at & 0xFFFFFF), x[-2], x[-1], at, held[sets.find(i)] == 1) for i, x in enumerate(rows)]
 
     found = cut_lineage(by_key(x, "_at", local, schema, (*cols, "_home", "_many")))
     w = Window.partitionBy(*KEY).orderBy("at")  # a row a chunk that a box reaches
-    edges = found.where("many > 1").select("page_id", F.lag("cid").over(w).alias("a"), F.col("cid").alias("b")).where("a is not null").distinct()
+    border = found.where("many > 1").withColumn("linked", F.max(~F.col("alone")).over(Window.partitionBy(*KEY)))  # boxes without a link anywhere join nothing
+    edges = border.where("linked").select("page_id", F.lag("cid").over(w).alias("a"), F.col("cid").alias("b")).where("a is not null").distinct()
     joined = components(edges).select("page_id", F.col("region_seq").alias("cid"), "component")
     return found.where("home").join(joined, ["page_id", "cid"], "left").select("page_id", *cols, F.coalesce("component", "cid").alias("grp"))
 
@@ -460,8 +463,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     e = edges.select("page_id", F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
     e = cut_lineage(e.unionByName(e.select("page_id", F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    lab = cut_lineage(e.groupBy("page_id", "x").agg(F.least("x", F.min("y")).alias("c")))
-    changed = not lab.isEmpty()
+    lab = e.groupBy("page_id", "x").agg(F.least("x", F.min("y")).alias("c"))
+    changed = not e.isEmpty()
+    if changed:
+        lab = cut_lineage(lab)
     while changed:
         least = e.join(lab.select("page_id", F.col("x").alias("y"), F.col("c").alias("cy")), ["page_id", "y"]).groupBy("page_id", "x").agg(F.min("cy").alias("m"))
         step = lab.join(least, ["page_id", "x"]).select("page_id", "x", "c", F.least("c", "m").alias("n"))

@@ -19,6 +19,8 @@ def get_spark(app: str = "inkgrid", cpus: str | int = "*", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        # work in Python is heavy for its bytes: a small shuffle still goes to all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for k, v in conf.items():
         b = b.config(k, v)
