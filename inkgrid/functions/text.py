@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import patterns as P
@@ -142,6 +142,23 @@ def char_ids(c: Column, vocab: Column, unk: int = 3, bos: int = 1, eos: int = 2)
     return F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos)))
 
 
+# Special tokens and their ids.
+SPECIAL = ("<pad>", "<bos>", "<eos>", "<unk>")
+
+
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """(token, id): the special tokens and all characters of a column, numbered in code-point order from 4. Null and empty texts add none.
+
+    Characters are made distinct before they are numbered, so the numbering
+    sees no more rows than there are characters.
+    """
+    from inkgrid.sources.files import number_by_name
+
+    chars = df.where(F.col(text) != "").select(F.explode(F.split(text, "")).alias("token")).where("token <> ''").distinct()
+    numbered = number_by_name(chars.select("token", F.hex("token").alias("name"), F.lit(0).alias("seq")), "n").select("token", (F.col("n") + 3).cast("long").alias("id"))
+    return df.sparkSession.createDataFrame(list(zip(SPECIAL, range(4), strict=True)), "token string, id long").unionByName(numbered)
+
+
 def special_mask(ids: Column) -> Column:
     """1 where an id is one of the special tokens 0 to 3."""
     return F.transform(ids, lambda x: (x <= 3).cast("int"))

@@ -71,6 +71,29 @@ def i6(s, d):
     return R.prepare_regions(p, boxes).groupBy("page_id").agg(F.count("*").cast("int").alias("regions"))
 
 
+@query("O2_part_order", "select * from (values ('a.png',0,0,0),('B.png',0,2,2),('B.png',1,132,132),('c.png',0,2,2),('c.png',1,2,92),('c.png',2,2,192),('Vol/1.png',0,192,2),('Vol/1.png',1,2,142),('Vol/2.png',0,0,0)) t(page_id, region_seq, l, t)")
+def o2(s, d):
+    """Parts of a page's ink, numbered from the top and within a row from the right."""
+    from inkgrid.operators import regions as R
+
+    p = cut_lineage(drawn(s).select("page_id", "content"))
+    return R.split_parts(p, pipeline.build("detector", "ink")(R.sizes(p))).select("page_id", "region_seq", "l", "t")
+
+
+@query("K1_save_output", "select * from (values ('a.png',60,40),('B.png',200,200),('c.png',200,300),('Vol/1.png',300,300),('Vol/2.png',200,200)) t(page_id, width, height)")
+def k1(s, d):
+    """Pages written as files and read again: every file has its page."""
+    from inkgrid.operators import regions as R
+    from inkgrid.sources import archives, sinks
+    from inkgrid.streaming.runs import folder
+
+    out = folder(s, "saved").removeprefix("file:")
+    p = cut_lineage(drawn(s).select("page_id", F.concat(F.lit(f"{out}/"), F.regexp_replace("page_id", "/", "__")).alias("path"), "content"))
+    sinks.write_files(sinks.as_format(p, "png"))
+    back = archives.read_images(s, out).select(F.regexp_replace("name", "__", "/").alias("page_id"), "content")
+    return R.sizes(back).select("page_id", "width", "height")
+
+
 @query("C3_translate_images", "select * from (values ('a.png',60,40,0,false),('B.png',200,200,2,false),('c.png',200,300,3,false),('Vol/1.png',300,300,2,false),('Vol/2.png',200,200,1,false)) t(page_id, width, height, texts, dark)")
 def c3(s, d):
     """From page images to erased images and placed texts: detection, recognition, translation, erasing, layout."""
@@ -114,7 +137,7 @@ def l12(s, d):
     x = cut_lineage(regions(s, d, "layout_bbox", "translated_text").where("translated_text <> ''"))
     bounds = spatial.render_bounds(x.select("page_id", "region_seq", "l", "t", "r", "b", *[F.col(f"layout_bbox.{c}").alias(f"l{c}") for c in "ltrb"]))
     m = table(s, d, "mask_runs").where("kind = 'layout'").select("page_id", "region_seq", "y", "x0", "x1").distinct()
-    texts = x.withColumn("horizontal", G.runs_horizontal(Box.of(), F.col("translated_text"), F.lit(False)))
+    texts = x.withColumn("horizontal", G.runs_horizontal(Box.of(), F.col("translated_text"), F.col("layout_bbox").isNotNull()))
     texts = texts.withColumn("text", F.when(F.col("horizontal"), F.col("translated_text")).otherwise(vertical(F.col("translated_text"))))
     return R.places(texts, bounds, m).select("page_id", "region_seq", "mode", "size", F.size("items").alias("n"), F.round(F.try_element_at("items", F.lit(1))["x"], 3).alias("x"), F.round(F.try_element_at("items", F.lit(1))["y"], 3).alias("y"))
 
@@ -172,18 +195,19 @@ _HAS = "H as (select page_id, count(*) as lines from R where translated_text is
 
 @query("W1_context_stream", with_regions("select p.page_id, p.page_seq, last_value(case when H.page_id is not null then p.page_seq end ignore nulls) over (partition by p.sub_dir order by p.page_seq rows between unbounded preceding and 1 preceding) as context_seq from pages p left join H using (page_id)", _HAS))
 def w1s(s, d):
-    """The carried context by a stateful stream, over all files there are in one batch."""
+    """The carried context by a stateful stream, in several batches of pages."""
     from inkgrid.streaming import runs as S
 
     has = regions(s, d, "translated_text").where("translated_text <> ''").select("page_id").distinct().withColumn("has", F.lit(True))
-    p = S.stream_table(s, d, "pages", 100000).select("page_id", "page_seq", "sub_dir")
+    p = S.in_files(table(s, d, "pages").select("page_id", "page_seq", "sub_dir"), "page_seq")
     x = p.join(has, "page_id", "left").withColumn("has", F.coalesce("has", F.lit(False)))
     return S.run_to_table(S.carry_context(x), s, "context").select("page_id", "page_seq", "context_seq")
 
 
 @query("stream_first_deliveries", "select distinct region_id, page_id, region_seq from regions")
 def sfd(s, d):
+    """Each region once, over several batches; deliveries here come up to a month late, so that is how long state is kept."""
     from inkgrid.streaming import runs as S
 
-    x = S.stream_table(s, d, "regions", 100000).select("region_id", "page_id", "region_seq", "received_at")
-    return S.run_to_table(S.first_deliveries(x, "400 days").select("region_id", "page_id", "region_seq"), s, "deliveries")
+    x = S.in_files(table(s, d, "regions").select("region_id", "page_id", "region_seq", "received_at"), "received_at")
+    return S.run_to_table(S.first_deliveries(x, "31 days").select("region_id", "page_id", "region_seq"), s, "deliveries")

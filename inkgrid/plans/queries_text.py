@@ -273,6 +273,12 @@ def t18d(s, d):
     return x.select("page_id", "region_seq", T.chars_of(ids, _back()).alias("text"), F.aggregate(T.special_mask(ids), F.lit(0), lambda a, v: a + v).alias("special"))
 
 
+@query("C13_vocabulary", with_regions("select c as token, 3+row_number() over (order by c) as id from (select distinct unnest(string_split(source_text,'')) as c from R where source_text<>'') t"))
+def c13(s, d):
+    """The character vocabulary of all texts: the special tokens have 0 to 3, the characters follow in code-point order."""
+    return T.vocabulary(regions(s, d, "source_text"), "source_text").where("id > 3")
+
+
 _PX = "list_transform(embedding, lambda x: round(x::double,4))"
 
 

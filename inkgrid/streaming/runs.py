@@ -39,6 +39,19 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def in_files(df: DataFrame, by: str, n: int = 4) -> DataFrame:
+    """A table as a stream of ``n`` batches in order of a column (nulls last), by way of files in the session's shared folder."""
+    spark = df.sparkSession
+    out = folder(spark, "files")
+    key = F.col(by).cast("double")
+    cuts = sorted(set(df.select(key.alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.01)))
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        here = (key > lo if lo is not None else F.lit(True)) & (key <= hi if hi is not None else F.lit(True))
+        part = df.where(F.coalesce(here, F.lit(False)) if hi is not None else here | F.col(by).isNull())
+        part.coalesce(1).write.mode("append").parquet(out)  # one after the other: a file source goes by their times
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
 def stream_images(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """Page images of a folder as they appear."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
@@ -82,6 +95,24 @@ def run_to_table(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_until(df: DataFrame, spark: SparkSession, name: str, cancelled: Callable[[], bool], every: float = 0.2) -> tuple[str, DataFrame]:
+    """('done' | 'cancelled', what was written): run a stream over all that is there, and stop it once ``cancelled()`` says so.
+
+    A batch that is under way is given up and leaves nothing behind; those
+    before it are whole. A later run with the same checkpoint would go on there.
+    """
+    out, ckpt = folder(spark, f"{name}-out"), folder(spark, f"{name}-ckpt")
+    q = df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    state = "done"
+    while not q.awaitTermination(every):
+        if cancelled():
+            q.stop()
+            state = "cancelled"
+            break
+    os.makedirs(out.removeprefix("file:"), exist_ok=True)
+    return state, spark.read.schema(df.schema).parquet(out)
+
+
 def run_isolated(df: DataFrame, spark: SparkSession, stage: Callable[[DataFrame], DataFrame], out: str, dead: str, ckpt: str | None = None):
     """Run a stage batch by batch; rows with an error go to ``dead``, the others through the stage to ``out``.
 

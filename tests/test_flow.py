@@ -126,3 +126,22 @@ def test_lineage_needs_a_shared_folder_on_a_cluster(spark):
     from inkgrid.session import cut_lineage
 
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_deliveries_over_several_batches(spark):
+    """A repeat in a later batch within the delay is dropped; state older than the delay is let go, and so is a row that late."""
+    from datetime import datetime, timedelta
+
+    t = datetime(2025, 1, 1)
+    rows = [(i, t + timedelta(days=i)) for i in range(40)] + [(5, t + timedelta(days=7)), (39, t + timedelta(days=39, hours=3))]
+    s = runs.in_files(spark.createDataFrame(rows, "region_id long, received_at timestamp"), "received_at", 5)
+    got = sorted(r["region_id"] for r in runs.run_to_table(runs.first_deliveries(s, "10 days"), spark, "t").collect())
+    assert got == list(range(40))
+
+
+def test_cancelled_stream_leaves_whole_batches(spark):
+    rows = spark.range(40).select("id", F.col("id").cast("string").alias("s"))
+    state, out = runs.run_until(runs.in_files(rows, "id", 4), spark, "t", lambda: False)
+    assert state == "done" and out.count() == 40
+    state, out = runs.run_until(runs.in_files(rows, "id", 4), spark, "t", lambda: True, 0.01)
+    assert state == "cancelled" and out.count() % 10 == 0 and out.count() < 40
