@@ -29,8 +29,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkgrid.operators.skew import salted_join
-
 LANGS = ("en", "de", "fr", "es", "ru", "ja", "zh", "ko", "th")
 
 # ISO 639-2/3 codes of the nine languages beside their two-letter codes.
@@ -562,16 +560,16 @@ def models_for(spark: SparkSession, documents: DataFrame | None, regions: DataFr
 # --- operators -------------------------------------------------------------------------------
 
 SEGMENTS = "region_id long, field string, start_pos int, end_pos int, lang string, confidence double"
-VERDICTS = "region_id long, page_id string, field string, langs array<string>, sure boolean, label string"
+VERDICTS = "region_id long, field string, langs array<string>, sure boolean, label string"
 
 
 def _long(regions: DataFrame) -> DataFrame:
-    """One row per text: region_id, page_id, field, text, label (two-letter code or null)."""
+    """One row per text: region_id, field, text, label (two-letter code or null)."""
     pair = F.array(
         F.struct(F.lit("source_text").alias("field"), F.col("source_text").alias("text"), normal_code(F.col("source_lang")).alias("label")),
         F.struct(F.lit("translated_text").alias("field"), F.col("translated_text").alias("text"), normal_code(F.col("translated_lang")).alias("label")),
     )
-    return regions.select("region_id", "page_id", F.explode(pair).alias("x")).select("region_id", "page_id", "x.field", "x.text", "x.label").where(F.col("text").rlike(r"\p{L}"))
+    return regions.select("region_id", F.explode(pair).alias("x")).select("region_id", "x.field", "x.text", "x.label").where(F.col("text").rlike(r"\p{L}"))
 
 
 def segment_languages(regions: DataFrame, models) -> DataFrame:
@@ -615,29 +613,25 @@ def _verdicts(regions: DataFrame, models) -> DataFrame:
             langs = [languages(d, i) for i in at[keep]]
             part = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [part.column("region_id"), part.column("page_id"), part.column("field"), pa.array(langs, pa.list_(pa.string())), pa.array(whole_sure[keep]), part.column("label")],
-                names=["region_id", "page_id", "field", "langs", "sure", "label"],
+                [part.column("region_id"), part.column("field"), pa.array(langs, pa.list_(pa.string())), pa.array(whole_sure[keep]), part.column("label")],
+                names=["region_id", "field", "langs", "sure", "label"],
             )
 
     return _long(regions).mapInArrow(run, VERDICTS)
 
 
-def wrong_labels(regions: DataFrame, pages: DataFrame, volumes: DataFrame, models) -> DataFrame:
+def wrong_labels(regions: DataFrame, models) -> DataFrame:
     """(region_id, field, lang): texts without a right label and texts of several languages, a row per language present.
 
     Where the models leave a text unsure (a lone name or cry that fits several
-    languages) the language of its volume is the prior that decides, if it
-    writes in the text's script. A text whose sentences no model accepts is in
-    none of the nine languages and has no row. Null labels and texts, pages
-    without volume and repeated rows are allowed; null texts have no row.
+    languages) its label stands if it names a language of the text's script;
+    a text without such a label gets the models' best guess. A text whose
+    sentences no model accepts is in none of the nine languages and has no row.
+    Null labels and texts and repeated rows are allowed; null texts have no
+    row. Nothing but the texts and their labels is looked at, and nothing is
+    shuffled but the rows found.
     """
-    v = _verdicts(regions, models)
-    side = pages.select("page_id", "sub_dir").join(volumes.select("sub_dir", F.col("source_lang").alias("vs"), F.col("target_lang").alias("vt")), "sub_dir").select("page_id", "vs", "vt").dropDuplicates(["page_id"])
-    j = salted_join(v, side, "page_id", regions, F.col("region_id"))
-    ordered = F.when(F.col("field") == "source_text", F.col("vs")).otherwise(F.col("vt"))
     scripts = F.create_map(*[F.lit(x) for kv in _SCRIPT_OF.items() for x in kv])
-    fits = scripts[ordered] == scripts[F.element_at("langs", 1)]
-    # unsure: the label stands if it fits the script and the volume; else the volume's language; else the models' guess
-    settled = F.when(F.col("sure"), F.col("langs")).when(fits, F.array(ordered)).otherwise(F.col("langs"))
-    out = j.withColumn("langs", settled).where(~((F.size("langs") == 1) & F.coalesce(F.element_at("langs", 1) == F.col("label"), F.lit(False))))
-    return out.select("region_id", "field", F.explode("langs").alias("lang")).distinct()
+    stands = ~F.col("sure") & F.coalesce(scripts[F.col("label")] == scripts[F.element_at("langs", 1)], F.lit(False))
+    v = _verdicts(regions, models).where(~stands)
+    return v.select("region_id", "field", F.explode("langs").alias("lang")).distinct()

@@ -15,7 +15,7 @@ def _models(spark: SparkSession, d: str):
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.wrong_labels(spread(table(spark, d, "regions")), table(spark, d, "pages"), table(spark, d, "volumes"), _models(spark, d))
+    return langid.wrong_labels(spread(table(spark, d, "regions")), _models(spark, d))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:

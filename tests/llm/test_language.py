@@ -78,12 +78,6 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], REGIONS)
 
 
-def side(spark):
-    pages = spark.createDataFrame([("p", "v"), ("q", None)], "page_id string, sub_dir string")
-    volumes = spark.createDataFrame([("v", "ja", "en")], "sub_dir string, source_lang string, target_lang string")
-    return pages, volumes
-
-
 def test_wrong_labels_cover_nulls_repeats_and_extra_columns(spark, bank):
     b = spark.sparkContext.broadcast(bank)
     rows = [
@@ -95,20 +89,21 @@ def test_wrong_labels_cover_nulls_repeats_and_extra_columns(spark, bank):
         (None, "q", "Ich höre jemanden im Hafen.", None, "de-DE", None),
         (5, "p", "船長は古い水車小屋へ行った。", "Le capitaine est allé au vieux moulin. 船長は古い水車小屋へ行った。", "jpn", "fr"),
     ]
-    got = {tuple(r) for r in L.wrong_labels(frame(spark, rows), *side(spark), b).collect()}
+    got = {tuple(r) for r in L.wrong_labels(frame(spark, rows), b).collect()}
     assert got == {(2, "source_text", "ja"), (2, "translated_text", "en"), (5, "translated_text", "fr"), (5, "translated_text", "ja")}
 
 
-def test_lone_name_takes_the_volumes_language(spark, bank):
+def test_an_unsure_text_keeps_a_label_of_its_script(spark, bank):
     b = spark.sparkContext.broadcast(bank)
-    got = {tuple(r) for r in L.wrong_labels(frame(spark, [(1, "p", "", "Mune!", "ja", None), (2, "p", "", "Mune!", "ja", "en")]), *side(spark), b).collect()}
-    assert got == {(1, "translated_text", "en")}
+    rows = [(1, "p", "", "Mune!", "ja", None), (2, "p", "", "Mune!", "ja", "en"), (3, "p", "", "Mune!", "ja", "es"), (4, "p", "", "Mune!", "ja", "ru")]
+    got = {r["region_id"]: r["lang"] for r in L.wrong_labels(frame(spark, rows), b).collect()}
+    assert set(got) == {1, 4} and set(got.values()) <= {"en", "de", "fr", "es"}
 
 
 def test_empty_tables(spark, bank):
     b = spark.sparkContext.broadcast(bank)
     empty = frame(spark, [])
-    assert L.wrong_labels(empty, *side(spark), b).count() == 0
+    assert L.wrong_labels(empty, b).count() == 0
     assert L.segment_languages(empty, b).count() == 0
     docs = spark.createDataFrame([], "doc_id long, lang string, text string")
     bank2 = L.fit_on(L.training_sample(docs, empty))
@@ -185,6 +180,6 @@ def test_a_bank_is_stored_and_read_again(calibrated, tmp_path):
 def test_foreign_texts_have_no_row(spark, calibrated):
     b = spark.sparkContext.broadcast(calibrated)
     rows = [(1, "p", FOREIGN["Ukrainian"][1], FOREIGN["Italian"][1], None, None), (2, "p", "港で誰かの声が聞こえる。", FOREIGN["Dutch"][1], "ja", "en")]
-    assert L.wrong_labels(frame(spark, rows), *side(spark), b).count() == 0
+    assert L.wrong_labels(frame(spark, rows), b).count() == 0
     got = {(r["region_id"], r["field"]): r["lang"] for r in L.segment_languages(frame(spark, rows[:1]), b).collect()}
     assert set(got.values()) == {L.NONE}
