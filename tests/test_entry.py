@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NAMES = ["P2_bbox_iou", "P11_quality_score", "J1_best_match", "G6_J7_render_bounds", "O1_reading_order", "G1_nms", "G8_cluster_components", "T1_format_response", "T3_parse_indexed", "W1_context_carry", "J4_mask_iou", "P23_score_horizontal", "F9_flat_background", "C4_pipeline"]
+NAMES = ["P2_bbox_iou", "P11_quality_score", "J1_best_match", "G6_J7_render_bounds", "O1_reading_order", "G1_nms", "G8_cluster_components", "T1_format_response", "T3_parse_indexed", "W1_context_carry", "J4_mask_iou", "P23_score_horizontal", "F9_flat_background", "C4_pipeline", "G5_long_strips", "G9_clusters", "G10_resolve_overlaps", "T15_wrap_text", "L4_kinsoku", "F5_region_has_text", "I4_crop", "I9_fill_holes", "I6_prepare_regions", "C3_translate_images", "K1_save_output", "O2_part_order", "M2_polygon_fill", "C13_vocabulary"]
 
 
 @pytest.fixture(scope="module")
