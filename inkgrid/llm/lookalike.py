@@ -141,23 +141,26 @@ def canonical_forms(regions: DataFrame) -> DataFrame:
     """(region_id, field, canonical): the canonical form of every text with a letter.
 
     Texts that look the same get the same form; it is one of them. Texts
-    without a letter, null and empty texts have no row; repeats count once.
-    Rows meet their form by key, without their text. Forms of values that hold
-    more than one part in 4 times the shuffle partitions of the rows (so there
-    are fewer of them than that) are broadcast, and their rows are dealt
-    over all tasks.
+    without a letter, null and empty texts have no row; repeats count once, a
+    region delivered with different texts has a row for each. Rows meet their
+    form by key, without their text, and repeats are dropped where they meet.
+    Forms of values that hold more than one part in 4 times the shuffle
+    partitions of the rows (so there are fewer of them than that) are
+    broadcast, and their rows are dealt over all tasks.
     """
     parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = _keyed(regions)
     forms = cut_lineage(canonical_of(t).select("k", "canonical", "n"))
     total = forms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    hot = forms.crossJoin(F.broadcast(total)).where(F.col("n") * (4 * parts) > F.col("total")).select("k", F.col("canonical").alias("often"))  # one row: the total
-    rows = t.select("region_id", "field", "k").join(F.broadcast(hot.select("k", F.lit(True).alias("hot"))), "k", "left")
+    hot = forms.crossJoin(F.broadcast(total)).where(F.col("n") * (4 * parts) > F.col("total"))  # one row: the total
+    hot = hot.select("k", F.xxhash64("k").alias("often"), F.col("canonical").alias("form"))
+    rows = t.select("region_id", "field", "k").join(F.broadcast(hot.select("k", "often")), "k", "left")
     # rows of a hot value look for a key that no value has
-    seek = F.when(F.col("hot"), F.struct(F.xxhash64("region_id", "field").alias("a"), F.lit(None).cast("long").alias("b"))).otherwise(F.col("k"))
-    j = rows.withColumn("seek", seek).join(forms.select(F.col("k").alias("seek"), "canonical"), "seek", "left")
-    j = j.join(F.broadcast(hot), "k", "left")
-    return j.select("region_id", "field", F.coalesce("often", "canonical").alias("canonical")).distinct()
+    seek = F.when(F.col("often").isNotNull(), F.struct(F.xxhash64("region_id", "field").alias("a"), F.lit(None).cast("long").alias("b"))).otherwise(F.col("k"))
+    rows = rows.select("region_id", (F.col("field") == "source_text").alias("first"), "often", seek.alias("seek"))
+    j = rows.join(forms.select(F.col("k").alias("seek"), "canonical"), "seek", "left").dropDuplicates(["seek", "often", "region_id", "first"])
+    j = j.join(F.broadcast(hot.select("often", "form")), "often", "left")
+    return j.select("region_id", F.when(F.col("first"), "source_text").otherwise("translated_text").alias("field"), F.coalesce("form", "canonical").alias("canonical"))
 
 
 def spelled_members(regions: DataFrame) -> DataFrame:
