@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from inkgrid.llm.sampling import least_hashed
 
 LANGS = ("en", "de", "fr", "es", "ru", "ja", "zh", "ko", "th")
 
@@ -313,8 +314,9 @@ def _end_table() -> np.ndarray:
     return _CACHE["e"]
 
 
-CLEAR = 0.35  # nats a character: with such a lead a sentence of unheard-of words is still in its language
+CLEAR = 0.5  # nats a character: with such a lead a sentence of unheard-of words is still in its language
 VARIED = 8  # different letters that a sentence has at least
+CRY = 4  # different letters below which a loop ('no no no') tells no language
 
 
 @dataclass
@@ -336,6 +338,19 @@ class Decided:
     unknown: np.ndarray  # the text has foreign sentences and no sure one
 
 
+def _said_before(codes: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Positions whose last eight characters ended an earlier position of the same stretch."""
+    h = codes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for step in (1, 2, 4):  # hashes of windows of 2, 4 and 8
+            h = h * _MULT + (np.concatenate([np.arange(step, dtype=np.uint64), h[:-step]]) ^ (h >> np.uint64(31)))
+        h = h * _MULT + stretch.astype(np.uint64)
+    order = np.argsort(h, kind="stable")
+    same = np.zeros(len(h), bool)
+    same[order[1:]] = h[order[1:]] == h[order[:-1]]
+    return same
+
+
 def decide(bank: Bank, texts: list[str]) -> Decided:
     """Cut texts into stretches and give each its language.
 
@@ -368,6 +383,7 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     n = len(texts)
     lang = np.full(len(b), -1)
     lead = np.zeros(len(b))
+    looped = np.zeros(len(b), bool)
     entropy = np.full((len(b), len(LANGS)), np.inf)
     for family, m in bank.families.items():
         k = np.flatnonzero(kind == family)
@@ -379,7 +395,11 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
         at = np.repeat(b[k] - 1 - first, size[k]) + np.arange(size[k].sum())
         codes = folded[at]
         codes[first] = 10
-        h = -np.add.reduceat(m.score(codes), first, axis=0) / size[k][:, None]
+        scored = m.score(codes)
+        again = _said_before(codes, np.repeat(np.arange(len(k)), size[k]))
+        scored[again] = 0  # a loop is no more evidence than its unit
+        looped[k] = 2 * np.add.reduceat(again.astype(np.int32), first) > size[k]
+        h = -np.add.reduceat(scored, first, axis=0) / size[k][:, None]
         entropy[k[:, None], cols] = h
         lang[k] = cols[np.argmin(h, axis=1)]
         if len(cols) == 1:
@@ -390,9 +410,12 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     best = entropy.min(axis=1, initial=np.inf)
     own = np.where(kind >= 3, letters >= 5, (spaces >= 2) & (letters >= 9)) & (lang >= 0)
     foreign = own & (best > bank.limits[lang]) & (np.isinf(lead) | (lead < CLEAR * size))
-    for k in np.flatnonzero(foreign):  # a cry said over and over is no sentence; such stretches are few
-        foreign[k] = len(np.unique(folded[b[k] : stop[k]][le[b[k] : stop[k]]])) >= VARIED
-    sure = own & ~foreign & (lead >= bank.margin)
+    cry = np.zeros(len(b), bool)
+    for k in np.flatnonzero(foreign | looped):  # such stretches are few
+        varied = len(np.unique(folded[b[k] : stop[k]][le[b[k] : stop[k]]]))
+        foreign[k] &= varied >= VARIED  # a cry said over and over is no sentence
+        cry[k] = looped[k] and varied < CRY and np.isfinite(lead[k])
+    sure = own & ~foreign & ~cry & (lead >= bank.margin)
     # whole texts: stretches weigh by their length; other scripts pay four nats a letter
     nats = np.where(np.isfinite(entropy), entropy * size[:, None], np.where(kind > 0, np.where(np.isfinite(best), best * size, 0) + 4.0 * letters, 0.0)[:, None])
     edge = np.searchsorted(text_of, np.arange(n))
@@ -408,7 +431,8 @@ def decide(bank: Bank, texts: list[str]) -> Decided:
     # a text without a sentence of its own (a cry, a name) is sure only by a wide lead over enough letters,
     # or where all its letters are of a script that only one of the languages writes
     alone = np.minimum.reduceat(np.where(kind > 0, kind, 9), edge) == np.maximum.reduceat(kind, edge)
-    whole_sure = (hi >= 0) | ((two[:, 1] - two[:, 0] >= 2.5 * bank.margin) & (n_letters >= 10)) | (alone & np.minimum.reduceat(np.isinf(lead) | (kind == 0), edge))
+    cries = np.maximum.reduceat(cry.astype(np.int8), edge).astype(bool)
+    whole_sure = (hi >= 0) | ((two[:, 1] - two[:, 0] >= 2.5 * bank.margin) & (n_letters >= 10) & ~cries) | (alone & np.minimum.reduceat(np.isinf(lead) | (kind == 0), edge))
     base = starts[text_of]
     lens = np.fromiter((len(t) for t in texts), np.int64, n)
     return Decided(text_of, b - base, np.minimum(stop - base, lens[text_of]), size, lang, best, lead, sure, foreign, whole, whole_sure, single | (hi < 0), unknown)
@@ -464,23 +488,16 @@ def languages(d: Decided, i: int) -> list[str]:
 MAX_CHARS = 4000  # longer texts are no training rows (they are labelled like any other)
 
 
-def _smallest(df: DataFrame, by: tuple[str, ...], per_label: int, max_chars: int) -> DataFrame:
-    """``per_label`` rows of each group with the smallest key hash; the partial group limit keeps the shuffle to that many rows a task."""
-    w = W.partitionBy(*by).orderBy(F.xxhash64("k"), "text")
-    usable = df.where(F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    return usable.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_label).select("lang", "text")
-
-
-def training_sample(documents: DataFrame | None, regions: DataFrame | None, per_label: int = 400, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(lang, text): at most ``3 * per_label`` rows a language of at most ``max_chars`` characters, whatever the size of the tables. Each table is read once."""
-    parts = []
+def training_sample(documents: DataFrame | None, regions: DataFrame | None, per_label: int = 1200, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(lang, text): at most ``3 * per_label`` rows a language of at most ``max_chars`` characters, whatever the size of the tables. Each table is read once, and its labels once more to count them."""
+    parts, usable = [], f"length(text) between 1 and {int(max_chars)}"
     if documents is not None:
         d = documents.select(normal_code(F.col("lang")).alias("lang"), "text", F.col("doc_id").alias("k"))
-        parts.append(_smallest(d, ("lang",), per_label, max_chars))
+        parts.append(least_hashed(d, "k", per_label, ("lang",), usable).select("lang", "text"))
     if regions is not None:
         both = F.array(*[F.struct(F.lit(t).alias("field"), normal_code(F.col(c)).alias("lang"), F.col(t).alias("text")) for t, c in (("source_text", "source_lang"), ("translated_text", "translated_lang"))])
         r = regions.select(F.col("region_id").alias("k"), F.explode(both).alias("x")).select("k", "x.field", "x.lang", "x.text")
-        parts.append(_smallest(r, ("field", "lang"), per_label, max_chars))
+        parts.append(least_hashed(r, "k", per_label, ("field", "lang"), usable).select("lang", "text"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -491,6 +508,8 @@ def fit_on(sample: DataFrame) -> Bank:
 
 
 _KANA = re.compile("[ぁ-ヺ]")
+SHORT = 20  # characters; shorter unsure rows are kept with the label they have
+FOLDS = 4  # that the training rows are cleaned in
 
 
 def fit_rows(rows: list[tuple[str, str]]) -> Bank:
@@ -510,11 +529,21 @@ def fit_rows(rows: list[tuple[str, str]]) -> Bank:
             return []
         d = decide(m, [t for _, t in rs])
         one = {x: i for i, x in enumerate(LANGS)}
-        return [r for i, r in enumerate(rs) if (d.single[i] and d.whole[i] == one[r[0]]) or not d.whole_sure[i]]
-
-    m = fit_models(group(kept))
-    kept = agrees(m, kept)
+        return [r for i, r in enumerate(rs) if (d.single[i] and d.whole[i] == one[r[0]]) or (not d.whole_sure[i] and len(r[1]) < SHORT)]
+
+    # rows are judged by models that haven't seen them, nor texts that begin alike: else a few texts
+    # of one kind under a wrong label vouch for each other
+    kept.sort(key=lambda r: (r[1], r[0]))
+    folds = [kept[len(kept) * i // FOLDS : len(kept) * (i + 1) // FOLDS] for i in range(FOLDS)]
+    clean = group([r for i, fold in enumerate(folds) for r in agrees(fit_models(group([r for j, f in enumerate(folds) if j != i for r in f])), fold)])
+    # where a third of a language's rows would go, the sample is too small for that: its labels stand
+    # at first, and the rows are judged by models that have seen them
+    thin = [x for x, texts in group(kept).items() if 3 * len(clean.get(x, [])) < 2 * len(texts)]
+    kept = [(x, t) for x, texts in group(kept).items() for t in (texts if x in thin else clean[x])]
     m = fit_models(group(kept))
+    if thin:
+        kept = agrees(m, kept)
+        m = fit_models(group(kept))
     clean = agrees(m, held)
     margin, limits = calibrate(m, clean)
     m = fit_models(group(kept + clean))
@@ -552,7 +581,7 @@ def calibrate(m: Bank, held: list[tuple[str, str]], error: float = 0.002, room:
     return (float(min(12.0, max(3.0, d.lead[k][o][ok[-1]]))) if len(ok) else 12.0), limits
 
 
-def models_for(spark: SparkSession, documents: DataFrame | None, regions: DataFrame | None, per_label: int = 400):
+def models_for(spark: SparkSession, documents: DataFrame | None, regions: DataFrame | None, per_label: int = 1200):
     """Fitted models as a Spark broadcast (a few tens of MB at most: the sample is bounded)."""
     return spark.sparkContext.broadcast(fit_on(training_sample(documents, regions, per_label)))
 

@@ -183,3 +183,17 @@ def test_foreign_texts_have_no_row(spark, calibrated):
     assert L.wrong_labels(frame(spark, rows), b).count() == 0
     got = {(r["region_id"], r["field"]): r["lang"] for r in L.segment_languages(frame(spark, rows[:1]), b).collect()}
     assert set(got.values()) == {L.NONE}
+
+
+def test_sample_is_the_rows_of_least_hash_whatever_the_threshold(spark, monkeypatch):
+    from inkgrid.llm import sampling
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 50 == 0, "b").when(F.col("id") % 7 == 0, F.lit(None)).otherwise("a").alias("g"), F.concat(F.lit("t"), F.col("id") % 3).alias("text"))
+    take = lambda: {r["id"] for r in sampling.least_hashed(df, "id", 20, ("g",)).collect()}
+    few = take()
+    monkeypatch.setattr(sampling, "OVER", 10**6)  # all rows pass
+    assert few == take() and len(few) == 40
+    assert sampling.least_hashed(df, "id", 20).count() == 20 and sampling.least_hashed(df, "id", 20, usable="text = 't1'").where("text <> 't1'").count() == 0
+    assert sampling.least_hashed(df.where("false"), "id", 20, ("g",)).count() == sampling.least_hashed(df.where("false"), "id", 20).count() == 0
+    assert sampling.least_hashed(df.where("id < 8"), "id", 20, ("g",)).count() == 7

@@ -83,3 +83,15 @@ def test_a_caption_at_a_true_limit_is_whole():
     assert T.is_cut("I can hear someone in the h", "", "bytes", lim, BANDS)
     assert T.is_cut("ฉันได้ยินเ"[:9], SENT, "bytes", lim, BANDS)
     assert T.is_cut("Who is there? I can hear a", OTHER, "bytes", lim, BANDS)
+
+
+def test_limits_are_a_matter_of_rate_and_significance(spark):
+    """Four texts at one length of a small feed are a limit, two aren't; of a large feed a length with few texts is none, however empty its neighbours are not."""
+    cut = lambda n, i: f"I can hear someone in the harbor {i:04d} and the".ljust(n, "x")[:n]
+    small = [(i, "small", SENT, cut(46, i), "c", "e") for i in range(4)] + [(9, "pair", SENT, cut(46, 9), "c", "e"), (10, "pair", SENT, cut(46, 10), "c", "e")]
+    even = [(1000 + 40 * i + k, "even", SENT, cut(40 + i, k), "c", "e") for i in range(30) for k in range(40)]  # 40 texts at every length
+    more = [(9000 + k, "even", SENT, cut(52, 5000 + k), "c", "e") for k in range(60)]  # 100 at one: not eight times the rate
+    df = spark.createDataFrame(small + even + more, ROWS)
+    lim = {(r["source"], r["measure"], r["size"]) for r in T.field_limits(df).collect()}
+    assert {x for x in lim if x[0] != "even"} == {("small", "chars", 46), ("small", "bytes", 46)}
+    assert not [x for x in lim if x[0] == "even"]
