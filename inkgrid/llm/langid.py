@@ -231,12 +231,20 @@ def hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _groups(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, the place of one of each, counts): as ``np.unique`` does, with the faster unstable sort."""
+    order = np.argsort(a)
+    s = a[order]
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[edge], order[edge], np.diff(np.append(edge, len(s)))
+
+
 def _one(codes: np.ndarray) -> tuple[list[dict], list[np.ndarray]]:
     """Counts of one language: by order, the distinct n-grams with suffix, context and count."""
     hs = hashes(codes)
     out = []
     for n in range(ORDER):
-        u, first, cnt = np.unique(hs[n], return_index=True, return_counts=True)
+        u, first, cnt = _groups(hs[n])
         ctx = hs[n - 1][np.maximum(first - 1, 0)] if n else np.zeros(len(u), np.uint64)
         suf = hs[n - 1][first] if n else np.zeros(len(u), np.uint64)
         out.append({"u": u, "ctx": ctx, "suf": suf, "cnt": cnt})
@@ -263,7 +271,7 @@ def _fit_family(langs: tuple[str, ...], texts: dict[str, list[str]]) -> Models:
         alphabets = max(alphabets, len(counts[-1][0]["u"]))
     grams, logp, back = [], [], []
     for n in range(ORDER):
-        union, first = np.unique(np.concatenate([c[n]["u"] for c in counts]), return_index=True)
+        union, first, _ = _groups(np.concatenate([c[n]["u"] for c in counts]))
         ctx = np.concatenate([c[n]["ctx"] for c in counts])[first]
         suf = np.concatenate([c[n]["suf"] for c in counts])[first]
         lp = np.empty((len(union), len(langs)), np.float32)
@@ -344,11 +352,19 @@ def _said_before(codes: np.ndarray, stretch: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for step in (1, 2, 4):  # hashes of windows of 2, 4 and 8
             h = h * _MULT + (np.concatenate([np.arange(step, dtype=np.uint64), h[:-step]]) ^ (h >> np.uint64(31)))
-        h = h * _MULT + stretch.astype(np.uint64)
-    order = np.argsort(h, kind="stable")
-    same = np.zeros(len(h), bool)
-    same[order[1:]] = h[order[1:]] == h[order[:-1]]
-    return same
+        h = (h + stretch.astype(np.uint64)) * _MULT
+    # hash and position in one number, so that a plain sort puts equal windows side by side in their order
+    bits = np.uint64(max(1, len(h)).bit_length())
+    v = np.sort(((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64))
+    near = (v[1:] >> bits) == (v[:-1] >> bits)
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    late, early = (v[1:][near] & place).astype(np.int64), (v[:-1][near] & place).astype(np.int64)
+    same = (stretch[late] == stretch[early]) & (early >= 7)
+    for j in range(8):  # equal hashes are looked at
+        same &= codes[late - j] == codes[np.maximum(early - j, 0)]
+    out = np.zeros(len(h), bool)
+    out[late[same]] = True
+    return out
 
 
 def decide(bank: Bank, texts: list[str]) -> Decided:
@@ -535,7 +551,14 @@ def fit_rows(rows: list[tuple[str, str]]) -> Bank:
     # of one kind under a wrong label vouch for each other
     kept.sort(key=lambda r: (r[1], r[0]))
     folds = [kept[len(kept) * i // FOLDS : len(kept) * (i + 1) // FOLDS] for i in range(FOLDS)]
-    clean = group([r for i, fold in enumerate(folds) for r in agrees(fit_models(group([r for j, f in enumerate(folds) if j != i for r in f])), fold)])
+    lone = {x for x in LANGS if sum(y == _SCRIPT_OF[x] for y in _SCRIPT_OF.values()) == 1}
+
+    def without(i: int) -> Bank:
+        """Models of all folds but one; of languages alone in their script, whose choice needs no model, a few texts will do."""
+        texts = group([r for j, f in enumerate(folds) if j != i for r in f])
+        return fit_models({x: t[:20] if x in lone else t for x, t in texts.items()})
+
+    clean = group([r for i, fold in enumerate(folds) for r in agrees(without(i), fold)])
     # where a third of a language's rows would go, the sample is too small for that: its labels stand
     # at first, and the rows are judged by models that have seen them
     thin = [x for x, texts in group(kept).items() if 3 * len(clean.get(x, [])) < 2 * len(texts)]
