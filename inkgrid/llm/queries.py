@@ -67,13 +67,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return sentences.sentence_table(spread(docs), sentences.fit(docs))
+    docs = spread(table(spark, d, "documents"))
+    return sentences.sentence_table(docs, sentences.fit(docs))
 
 
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return sentences.sentence_units(spread(docs), sentences.fit(docs))
+    docs = spread(table(spark, d, "documents"))
+    return sentences.sentence_units(docs, sentences.fit(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ quotes, every blank in Thai, the end of the paragraph); it selects whole spans
 between them so that the sum of the spans' scores is largest. A span's score
 joins its length, its opening words, its closing words with the end mark, and
 whether it begins or ends within a quotation. Lengths, opening and closing
-words are fitted on a bounded sample of documents: log-probabilities of span
-lengths by script, and log-odds of words that open sentences, or stand before
-a full stop that ends none.
+words are fitted on all documents: log-probabilities of span lengths by
+script, and log-odds of words that open sentences, or stand before a full
+stop that ends none.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.sampling import least_hashed
-
 # Abbreviations that never end a sentence by themselves (lower case, without the last dot).
 ABBREVIATIONS = frozenset(
     # English
@@ -60,15 +58,19 @@ TAG_KO = ("라고", "이라고", "하고", "라며", "이라며", "하며", "라
 _BREAK = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+\s*|[ \f]\s*")
 _QUOTES = re.compile(r"[\"“”„«»「」『』（）()《》〈〉【】\[\]]")
 _SCAN = re.compile(r"(\.\s\.\s\.|[.!?。！？｡．…‼⁇⁈⁉]+)|([\"“”„«»「」『』（）()《》〈〉【】\[\]])|((?<=[฀-๿])[^\S\n]+(?=\S)|(?<=\S)[^\S\n]+(?=[฀-๿])|(?<=[฀-๿])\s*\n\s*(?=\S))")
+# the same where no Thai letter is near: one class to look for
+_SCAN_PLAIN = re.compile(r"[.!?。！？｡．…‼⁇⁈⁉\"“”„«»「」『』（）()《》〈〉【】\[\]](?:(?<=\.)\s\.\s\.|(?<=[.!?。！？｡．…‼⁇⁈⁉])[.!?。！？｡．…‼⁇⁈⁉]+)?")
+_MARKS = frozenset(".!?。！？｡．…‼⁇⁈⁉")
+_THAI = re.compile("[฀-๿]")
 _OPEN = {"«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "【": "】", "[": "]", "“": "”", "„": "“"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
 _WORD_BEFORE = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.[  ]?){0,3}[^\W\d_]+$")
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _NUMBER_BEFORE = re.compile(r"(\w*)\s*\b(\d{1,2})$")
-_HAN = re.compile("[぀-ヿ㐀-鿿]")
-_THAI_LETTER = re.compile("[ก-ฮ]")
-_SPACED = re.compile("[A-Za-zÀ-ɏЀ-ӿ가-힣]")
+_HAN = re.compile("[぀-ヿ㐀-鿿]+")
+_THAI_LETTER = re.compile("[ก-ฮ]+")
+_SPACED = re.compile("[A-Za-zÀ-ɏЀ-ӿ가-힣]+")
 _CLAUSE = re.compile("[.!?…。！？\"“”„«»「」『』\n]")
 SURE = 6.0  # score of an end that only a quotation around it can undo: it outweighs two spans of the least likely length
 _REACH = 32  # characters before a mark that hold its last words; no abbreviation is longer
@@ -117,7 +119,10 @@ def script_of(text: str, start: int, stop: int) -> str:
     piece = text[start:stop]
     if piece.isascii():
         return "spaced"
-    han, thai, rest = len(_HAN.findall(piece)), len(_THAI_LETTER.findall(piece)), len(_SPACED.findall(piece))
+    han, thai = (sum(map(len, x.findall(piece))) for x in (_HAN, _THAI_LETTER))
+    if not han and not thai:
+        return "spaced"
+    rest = sum(map(len, _SPACED.findall(piece)))
     return "thai" if thai > max(han, rest) else "han" if 2 * han > rest else "spaced"
 
 
@@ -325,16 +330,17 @@ def _places(text: str, start: int, stop: int, model: Model) -> list[Place]:
             out.append(Place(end, nxt, score, depth > 0, stray))
         mark, quoted = None, ""
 
-    for m in _SCAN.finditer(text, start, stop):
+    plain = _THAI.search(text, start, stop) is None
+    for m in (_SCAN_PLAIN if plain else _SCAN).finditer(text, start, stop):
         i = m.start()
-        if m.group(1):
+        ch = text[i]
+        if ch in _MARKS:
             if mark is not None and i == end and not quoted:
                 mark, end = (mark[0], m.end()), m.end()
                 continue
             settle()
             mark, end = (i, m.end()), m.end()
-        elif m.group(2):
-            ch = m.group(2)
+        elif plain or m.group(2):
             if i in closers or i in lone:
                 near = mark is not None and (i == end or (ch == "»" and not text[end:i].strip()))
                 if not near:
@@ -415,8 +421,8 @@ def _has_letters(text: str, i: int, end: int) -> bool:
     return False
 
 
-def paragraph_ends(text: str, start: int, stop: int, model: Model) -> list[int]:
-    """Sentence ends in the paragraph text[start:stop], which begins and ends with a non-blank.
+def paragraph_ends(text: str, start: int, stop: int, model: Model, script: str | None = None) -> list[int]:
+    """Sentence ends in the paragraph text[start:stop], which begins and ends with a non-blank; ``script`` is that of the paragraph, if known.
 
     best[j] is the largest sum of span scores up to place j. Spans of LONG
     characters and more pay in proportion to their length, so the best start
@@ -435,7 +441,7 @@ def paragraph_ends(text: str, start: int, stop: int, model: Model) -> list[int]:
             opens[i] -= 8.0  # a span of marks alone, if it ends at the next place
     lone = [0, *(p.lone for p in places)]
     strays = lone[-1] > 0
-    length = model.lengths[script_of(text, start, stop)]
+    length = model.lengths[script or script_of(text, start, stop)]
     best, back = [0.0] * (n + 1), [0] * (n + 1)
     lead, lead_at, near = -1e18, 0, 0
     for j in range(1, n + 1):
@@ -475,7 +481,8 @@ DEFAULT = Model()
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """Trimmed ranges between empty lines."""
     at = 0
-    bounds = [(m.start(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
+    broken = text.count("\n") > 1 or "\f" in text or "\u2029" in text
+    bounds = ([(m.start(), m.end()) for m in _BREAK.finditer(text)] if broken else []) + [(len(text), len(text))]
     for a, b in bounds:
         i, k = at, a
         while i < k and text[i].isspace():
@@ -494,16 +501,52 @@ def sentence_ends(text: str | None, model: Model = DEFAULT) -> list[int]:
     return [e for i, k in paragraphs(text) for e in paragraph_ends(text, i, k, model)]
 
 
-# --- fitting on a sample -----------------------------------------------------------------------
+# --- fitting -----------------------------------------------------------------------------------
 
-SAMPLE = 2000  # documents
-SAMPLE_CHARS = 20000  # longer documents are no training rows (they are cut into sentences like any other)
-_DOT_WORD = re.compile(r"(?<![^\W_])([^\W\d_]+(?:\.[^\W\d_]+)*)\.(?=(\s*)(\S?))")
+LEAST = 5  # uses that give a word odds
+HELD = 50000  # words that a task counts before it hands them on
+_DOT_WORD = re.compile(r"(?<![^\W_])([^\W\d_]++(?:\.[^\W\d_]++)*)\.(?=\s*(\S?))")
 _CAPITAL = re.compile(r"(?<![^\W_])[A-ZÀ-ÞЀ-Я][^\W\d_]*")
+_BIN = [str(next((b for b in _BINS if n < b), LONG)) for n in range(_BINS[-1] + 1)]  # of a length, longer ones as the last
+Counts = defaultdict[tuple[str, str], list[int]]  # (kind, word) -> uses for, uses against; the kind of a length bin is its script
+
+
+def _count(t: str, out: Counts) -> None:
+    """Adds the spans and words of a text, cut by the default model."""
+    for i, k in paragraphs(t):
+        script, at = script_of(t, i, k), i
+        capitals = _CAPITAL.search(t, i, k) is not None
+        for e in paragraph_ends(t, i, k, DEFAULT, script):
+            at = _skip(t, at, e)
+            out[script, _BIN[min(e - at, _BINS[-1])]][0] += 1
+            words = _CAPITAL.findall(t, at, e) if capitals else None
+            if words:
+                out["opens", words[0]][not t.startswith(words[0], _first_word(t, at, e))] += 1
+                for word in words[1:]:
+                    out["opens", word][1] += 1
+            at = e
+        if t.find(".", i, k) < 0:
+            continue
+        for m in _DOT_WORD.finditer(t, i, k):
+            nxt = m.group(2) if m.end() < k else ""
+            out["closes", m.group(1).casefold()][bool(nxt) and (nxt.islower() or nxt.isdigit() or nxt in ",;:")] += 1
 
 
-def fit_texts(texts: list[str]) -> Model:
-    """Lengths, opening and closing words of texts, cut by the default model.
+def partial_counts(texts: Iterable[str | None], held: int = HELD) -> Iterator[Counts]:
+    """Counts of the texts in parts that add up to them, none with many more than ``held`` words."""
+    out: Counts = defaultdict(lambda: [0, 0])
+    for t in texts:
+        if t and not t.isspace():
+            _count(t, out)
+        if len(out) >= held:
+            yield out
+            out = defaultdict(lambda: [0, 0])
+    if out:
+        yield out
+
+
+def model_of(counts: Iterable[tuple[str, str, int, int]]) -> Model:
+    """Model of (kind, word, uses for, uses against), each kind and word once.
 
     Lengths: smoothed log-probability of a span's length bin by script, against
     that of the most frequent bin, mixed with the default's; spans longer than
@@ -511,29 +554,17 @@ def fit_texts(texts: list[str]) -> Model:
     Opening words: log-odds of a capitalised word to open a span rather than
     stand within one. Closing words: log-odds of a word before a full stop to
     close a paragraph or stand before a capital rather than before a small
-    letter, a digit or a comma. Odds of words seen fewer than five times are 0.
+    letter, a digit or a comma. Odds of words seen fewer than five times are 0,
+    and so are those of words that always close.
     """
     bins: dict[str, Counter[int]] = {k: Counter() for k in DEFAULT.lengths}
-    opening, within, ending, going = Counter(), Counter(), Counter(), Counter()
-    for t in texts:
-        for i, k in paragraphs(t):
-            script, at = script_of(t, i, k), i
-            ends = paragraph_ends(t, i, k, DEFAULT)
-            for e in ends:
-                at = _skip(t, at, e)
-                bins[script][next((b for b in _BINS if e - at < b), LONG)] += 1
-                words = [m.group() for m in _CAPITAL.finditer(t, at, e)]
-                if words:
-                    first = _first_word(t, at, e)
-                    heads = t.startswith(words[0], first)
-                    if heads:
-                        opening[words[0]] += 1
-                    within.update(words[heads:])
-                at = e
-            for m in _DOT_WORD.finditer(t, i, k):
-                nxt = m.group(3) if m.end() < k else ""
-                (going if nxt and (nxt.islower() or nxt.isdigit() or nxt in ",;:") else ending)[m.group(1).casefold()] += 1
     out = Model()
+    odds = lambda a, b, most: max(-most, min(most, 0.5 * math.log((a + 0.5) / (b + 0.5))))
+    for kind, word, a, b in counts:
+        if kind in bins:
+            bins[kind][int(word)] = a
+        elif a + b >= LEAST and (kind == "opens" or b):
+            (out.opens if kind == "opens" else out.closes)[word] = odds(a, b, 1.0)
     for script, seen in bins.items():
         total = sum(seen.values())
         if total >= 100:
@@ -541,16 +572,26 @@ def fit_texts(texts: list[str]) -> Model:
             # a log-linear mix with the default, since a corpus of one kind hardly knows short spans
             known = DEFAULT.lengths[script]
             out.lengths[script] = _lengths({b: 0.5 * (known[b - 1] + max(-3.0, min(0.0, math.log((seen[b] + 1) / (total + 10)) - top))) for b in _BINS})
-    odds = lambda a, b, most: max(-most, min(most, 0.5 * math.log((a + 0.5) / (b + 0.5))))
-    out.opens = {w: odds(opening[w], within[w], 1.0) for w in opening.keys() | within.keys() if opening[w] + within[w] >= 5}
-    out.closes = {w: odds(ending[w], going[w], 1.0) for w in going if ending[w] + going[w] >= 5}
     return out
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Model:
-    """Model of at most ``sample`` documents of at most ``max_chars`` characters, those with the smallest hash of their id, whatever the size of the table."""
-    few = least_hashed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", sample, usable=f"length(text) between 1 and {int(max_chars)}")
-    return fit_texts([r["text"] for r in few.collect()])
+def fit_texts(texts: list[str]) -> Model:
+    """The model of texts: ``model_of`` the counts of all of them."""
+    return model_of((kind, word, a, b) for part in partial_counts(texts, 1 << 62) for (kind, word), (a, b) in part.items())
+
+
+def fit(documents: DataFrame) -> Model:
+    """The model of all documents, of whatever length; runs a job. Counts are added up by Spark; the driver sees the length bins and the words that have odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in partial_counts(t for b in batches for t in b.column("text").to_pylist()):
+            kinds, words = zip(*part, strict=True)
+            a, b = zip(*part.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "word", "a", "b"])
+
+    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, word string, a long, b long")
+    sums = parts.groupBy("kind", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return model_of(sums.where(f"kind not in ('opens', 'closes') or (a + b >= {LEAST} and (kind = 'opens' or b > 0))").collect())
 
 
 # --- operators ---------------------------------------------------------------------------------

@@ -112,6 +112,30 @@ def test_fitted_words(fitted):
     assert S.fit_texts([]).lengths == S.DEFAULT.lengths
 
 
+def test_every_document_enters_the_fit(spark):
+    texts = [f"We saw Runa by the old mill {n}. Runa left for vol. {n} of the maps." for n in range(2500)]
+    texts += ["Zeta came home. " * 2000, None, "", " "]  # the only text with this word is a long one
+    model = S.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert model == S.fit_texts([t for t in texts if t]) and model.opens["Zeta"] == 1.0
+    assert S.fit(spark.createDataFrame([], "doc_id long, text string")) == S.DEFAULT
+
+
+def test_a_word_of_one_late_document_counts(spark):
+    rows = [(n, "They left.") for n in range(6000)]
+    for late in (0, 3000, 5999):  # wherever it stands
+        some = [(i, "Kumo stayed. " * 5 if i == late else t) for i, t in rows]
+        assert S.fit(spark.createDataFrame(some, "doc_id long, text string")).opens["Kumo"] == 1.0
+
+
+def test_parts_add_up():
+    texts = [s for sents in CASES.values() for s in sents] * 3
+    total = {}
+    for part in S.partial_counts(texts, 4):
+        for k, (a, b) in part.items():
+            total[k] = (total.get(k, (0, 0))[0] + a, total.get(k, (0, 0))[1] + b)
+    assert S.model_of((*k, *n) for k, n in total.items()) == S.fit_texts(texts) and len(list(S.partial_counts(texts, 4))) > 10
+
+
 @pytest.mark.parametrize("unit", ["and then the captain went out... Nobody moved ", '"We found it. ', "„«(", "He met K. Mo etc. and so on "])
 def test_linear_in_the_length_of_a_paragraph(unit):
     text = unit * (1_000_000 // len(unit))
