@@ -132,8 +132,11 @@ def runs_horizontal(a: Box, text: Column, has_mask: Column, threshold: float = 1
 
 
 def side_by_side(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
-    """Sizes of two images scaled to the larger height and set side by side: (w1, w2, width, height)."""
+    """Sizes of two images scaled to the larger height and set side by side: (w1, w2, width, height).
+
+    Products are doubles: a width times the height of a long strip passes the range of int.
+    """
     h = F.greatest(h1, h2)
-    a = F.greatest(F.lit(1), F.bround(w1 * h / h1, 0).cast("int"))
-    b = F.greatest(F.lit(1), F.bround(w2 * h / h2, 0).cast("int"))
+    a = F.greatest(F.lit(1), F.bround(w1 * h.cast("double") / h1, 0).cast("int"))
+    b = F.greatest(F.lit(1), F.bround(w2 * h.cast("double") / h2, 0).cast("int"))
     return F.struct(a.alias("w1"), b.alias("w2"), (a + b).alias("width"), h.alias("height"))

@@ -46,6 +46,12 @@ def test_direction(spark, box, text, want):
     assert one(spark, G.runs_horizontal(Box(*map(F.lit, box)), F.lit(text), F.lit(False))) is want
 
 
+def test_side_by_side_of_a_long_strip(spark):
+    z = lambda *a: tuple(one(spark, G.side_by_side(*map(F.lit, a))))
+    assert z(900, 24_000_200, 900, 1200) == (900, 18_000_150, 18_001_050, 24_000_200)
+    assert z(1600, 600, 900, 1200) == (3200, 900, 4100, 1200)
+
+
 def test_reading_order(spark):
     got = S.reading_order(frame(spark, plain((50, 15, 150, 105), (100, 300, 250, 400), (200, 10, 300, 100)))).orderBy("rank").collect()
     assert [r["region_seq"] for r in got] == [2, 0, 1]
