@@ -239,8 +239,8 @@ def place(text: str, box: tuple[int, int, int, int], horizontal: bool, runs: lis
         return "none", None, []
     if horizontal:
         aw, ah = max(1, w - 2 * padding), max(1, h - 2 * padding)
-        got = L.best_layout(text, aw, ah, False, min(largest, max(preferred, ah)), preferred, least)
-        if got and got.score > 0:
+        got = L.best_layout(text, aw, ah, False, min(largest, max(preferred, ah)), preferred, least, positive=True)
+        if got:
             y, items = t + padding + (ah - got.height) / 2, []
             for line in got.lines:
                 items.append({"text": line.text, "x": l + padding + (aw - L.width_of(line.text, got.size)) / 2, "y": y})
@@ -252,26 +252,30 @@ def place(text: str, box: tuple[int, int, int, int], horizontal: bool, runs: lis
     for y, x0, x1 in runs:
         if t <= y < b:
             mask[y - t, max(0, x0 - l) : max(0, x1 - l)] = True
-    if not mask.any():
+    bare = not mask.any()
+    if bare:
         mask[:] = True
-    found = K.largest_rectangle(mask)
+    found = (0, 0, w, h) if bare else K.largest_rectangle(mask)
     if found and found[2] * found[3] >= 0.70 * mask.sum():
         x, y, rw, rh = found
-        got = L.best_layout(text, max(1, rw - 2 * padding), max(1, rh - 2 * padding), True, largest, preferred, least)
-        if got and got.score > 0:
+        got = L.best_layout(text, max(1, rw - 2 * padding), max(1, rh - 2 * padding), True, largest, preferred, least, positive=True)
+        if got:
             at = L.column_places([len(c.text) for c in got.lines], got.size, l + x + padding, t + y + padding, rw - 2 * padding, rh - 2 * padding)
             return "rectangle", got.size, [{"text": c.text, "x": px, "y": py} for c, (px, py) in zip(got.lines, at, strict=True)]
+    parts = L.sentences(text)
+    left_of = np.zeros((h, w + 1), np.min_scalar_type(w))
+    np.cumsum(mask, axis=1, out=left_of[:, 1:])  # set pixels of each line before a column
     for size in range(min(largest, preferred), least - 1, -2):
-        step = math.ceil(1.15 * size)
         ranges: dict[int, list[tuple[int, int]]] = {}
-        for x in range(w - size, -1, -step):
-            col = mask[:, x : x + size].all(axis=1)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], col.view(np.int8), [0]])))
+        xs = np.arange(w - size, -1, -math.ceil(1.15 * size))
+        cols = left_of[:, xs + size] - left_of[:, xs] == size
+        for k in np.flatnonzero(cols.sum(axis=0) >= size).tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], cols[:, k].view(np.int8), [0]])))
             if spans := [(int(a), int(z)) for a, z in zip(edge[::2], edge[1::2], strict=True) if z - a >= size]:
-                ranges[x] = spans
-        if placed := L.in_mask(text, ranges, size):
+                ranges[int(xs[k])] = spans
+        if placed := L.in_mask(text, ranges, size, parts):
             return "mask", size, [{"text": c, "x": float(l + x), "y": float(t + y)} for c, x, y in placed]
-    columns = L.sentences(text) or [text]
+    columns = parts or [text]
     at = L.column_places([len(c) for c in columns], least, l + padding, t + padding, w - 2 * padding, h - 2 * padding)
     return "fallback", least, [{"text": c, "x": px, "y": py} for c, (px, py) in zip(columns, at, strict=True)]
 

@@ -179,6 +179,21 @@ def test_horizontal_layout_takes_few_steps():
     assert sum(calls_of(L.best_layout, x, 160, 120, False) for x in SPOKEN) / len(SPOKEN) < 1000
 
 
+def test_vertical_layout_takes_few_steps():
+    """As in horizontal setting (8,398 calls before)."""
+    assert sum(calls_of(L.best_layout, x, 160, 120, True) for x in SPOKEN) / len(SPOKEN) < 1000
+
+
+def test_positive_layouts_only():
+    """What scores 0 or less is left out, and nothing else; spaced paragraphs are scored as spaced."""
+    for text in [*SPOKEN, *("one two. three\n" * n for n in range(1, 12)), "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3]:
+        for width in range(10, 200, 19):
+            for height in (13, 40, 120, 600):
+                for vertical in (False, True):
+                    got = L.best_layout(text, width, height, vertical)
+                    assert L.best_layout(text, width, height, vertical, positive=True) == (got if got.score > 0 else None)
+
+
 class Model:
     def __init__(self, *replies):
         self.replies, self.calls = list(replies), []
