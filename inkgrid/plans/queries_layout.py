@@ -76,14 +76,19 @@ def l1v(s, d):
     return L.layouts(said(s, d), True)
 
 
+def cut_words(lines):
+    """How many ends of an array of lines cut a Latin word that doesn't fill its line."""
+    latin = r"[A-Za-z0-9'\-_]"  # looked for at the two ends that meet, then in the whole line
+    pairs = F.transform(F.when(F.size(lines) > 1, F.sequence(F.lit(1), F.size(lines) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.element_at(lines, i).alias("a"), F.element_at(lines, i + 1).alias("b")))
+    return F.size(F.filter(pairs, lambda p: F.substring(p["a"], -1, 1).rlike(latin) & F.substring(p["b"], 1, 1).rlike(latin) & ~p["a"].rlike(f"^{latin}+$")))
+
+
 @query("L4_kinsoku", with_regions(f"select page_id, region_seq, nullif({_SQUEEZE},'') as text, 0::bigint as broken from R where translated_text is not null"))
 def l4(s, d):
     """Of each text, what its lines hold (all but the blanks, in order) and how many Latin words of up to the line's length they cut: none."""
     x = L.layouts(said(s, d), False)
-    pairs = F.transform(F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.element_at("lines", i).alias("a"), F.element_at("lines", i + 1).alias("b")))
-    cut = F.size(F.filter(pairs, lambda p: p["a"].rlike(r"[^A-Za-z0-9'\-_][A-Za-z0-9'\-_]+$") & p["b"].rlike(r"^[A-Za-z0-9'\-_]")))
     held = F.regexp_replace(F.array_join("lines", ""), r"[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}]+", "")
-    return x.select("page_id", "region_seq", held.alias("text"), F.when(F.col("score") > -50000, cut).otherwise(0).cast("long").alias("broken"))
+    return x.select("page_id", "region_seq", held.alias("text"), F.when(F.col("score") > -50000, cut_words(F.col("lines"))).otherwise(0).cast("long").alias("broken"))
 
 
 # lines of a text as its words, at a size of 12 to 23, for the scores as expressions

@@ -194,6 +194,19 @@ def test_positive_layouts_only():
                     assert L.best_layout(text, width, height, vertical, positive=True) == (got if got.score > 0 else None)
 
 
+def test_cut_words(spark):
+    from inkgrid.plans.queries_layout import cut_words
+
+    f = lambda *lines: val(spark, cut_words(F.array(*map(F.lit, lines))))
+    assert f("a wor", "d here") == 1 and f("wor", "d here") == 0 and f("a word ", "here") == 0 and f("a word", "。") == 0 and f("、a", "b c", "d") == 2
+    assert f("one") == 0 and val(spark, cut_words(F.array().cast("array<string>"))) == 0
+
+
+def test_long_quotations_take_few_steps():
+    """A quotation is one segment, cut into chunks at each size (79,901 calls before, 1,246 after)."""
+    assert calls_of(L.best_layout, "“" + "Nobody came back from there, not even you. " * 6 + "”", 160, 200, False) < 4000
+
+
 class Model:
     def __init__(self, *replies):
         self.replies, self.calls = list(replies), []
